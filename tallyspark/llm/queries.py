@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import table
+from .language import predict_held_out
+from .quality_mil import classify_quality
+from .quality_rules import quality_rules
 
 #: The tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,8 +27,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_held_out(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality_attention": op2_quality_attention,
+    "op4_quality_rules": op4_quality_rules,
+    "op10_language_ppm": op10_language_ppm,
 }
 
 #: DuckDB SQL for the rows of a query, where SQL can express them.
