@@ -9,6 +9,7 @@ from .common import table
 from .language import predict_held_out
 from .quality_mil import classify_quality
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
 
 #: The tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +38,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_attention": op2_quality_attention,
     "op4_quality_rules": op4_quality_rules,
+    "op6_simhash": op6_simhash,
     "op10_language_ppm": op10_language_ppm,
 }
 
