@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .language import predict_held_out
+from .pii import BASE_KINDS, find_personal_data, span_text
 from .quality_mil import classify_quality
 from .quality_rules import quality_rules
+from .sharding import shard_records
 from .simhash import near_duplicates
+from .url_filter import filter_urls
 
 #: The tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,11 +41,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    of_kind = lambda k: F.size(F.filter("pii_spans", lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
+    base = F.filter("pii_spans", lambda x: x["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *[of_kind(k) for k in BASE_KINDS], F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("pii_spans")).alias("spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_records(table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 40)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -51,7 +70,10 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_attention": op2_quality_attention,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
+    "op7_url_filter": op7_url_filter,
+    "op8_sharding": op8_sharding,
     "op10_language_ppm": op10_language_ppm,
 }
 
