@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import table
+from .decontaminate import contaminated_pairs
 from .language import predict_held_out
 from .pii import BASE_KINDS, find_personal_data, span_text
 from .quality_mil import classify_quality
@@ -13,6 +14,7 @@ from .quality_rules import quality_rules
 from .sharding import shard_records
 from .simhash import near_duplicates
 from .url_filter import filter_urls
+from .warc import archive_pages
 
 #: The tokenizer file of the queries; a parameter of the operators.
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +38,11 @@ def op2_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
@@ -62,6 +69,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_matched", "coverage", "exact")
+
+
 def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
@@ -69,11 +81,13 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_attention": op2_quality_attention,
+    "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
+    "op9_decontaminate": op9_decontaminate,
     "op10_language_ppm": op10_language_ppm,
 }
 
