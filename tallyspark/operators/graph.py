@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from ..shared import materialize
 
 
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -15,7 +15,9 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     when nothing changes. Sums are taken before the shuffle, and joins read written tables on both sides, so that
     Spark can split the partition of a node with very many links. Without links the result is empty.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
+    # both directions come from one reading of a link, as a link may be found in another order when it is computed again
+    turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = materialize(links.where("a != b").select(turned.alias("_l")).select("_l.a", "_l.b").distinct(), "links")
     own = F.struct(F.col("rank").isNull().alias("none"), F.col("rank"), F.col("node").alias("root"))
     linked = both.select(F.col("a").alias("node")).distinct()
     labels = materialize(nodes.join(linked, "node", "left_semi").select("node", own.alias("label")), "labels")
