@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +25,11 @@ from .common import map_texts
 
 #: The pre-tokenizer's pattern; a fixed value of the byte-level format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens and fragments that a worker remembers before it starts anew; together some 60 MB.
+REMEMBERED, REMEMBERED_FRAGMENTS = 150_000, 30_000
+#: Fragments up to this length are merged by scanning a list of ranks, longer ones by a heap.
+SHORT = 48
+NO_JOIN = 1 << 62
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,32 +52,45 @@ class ForcedBoundaryBpe:
         for i, token in self.bytes_of.items():
             if len(token) == 1:
                 self.id_of_byte[token[0]] = i
-        self.joins: dict[tuple[int, int], tuple[int, int]] = {}
+        self.joins: dict[tuple[int, int], tuple[int, int]] = {}  # rank, and id of what is joined
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.joins[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self.ranks = {pair: rank << 24 | new for pair, (rank, new) in self.joins.items()}
         inside = np.zeros((256, 256), dtype=bool)
         for token in self.bytes_of.values():
             for a, b in zip(token, token[1:]):
                 inside[a, b] = True
-        self.cut_after = [frozenset(np.flatnonzero(~inside[a]).tolist()) for a in range(256)]
+        self.cut = (~inside).astype(np.uint8).tobytes()  # by first byte * 256 + second
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.find = regex.compile(PRE_TOKEN).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.fragments: dict[bytes, list[int]] = {}
         self.words = _Words(self)
 
-    def merge(self, fragment: bytes) -> tuple[int, ...]:
+    def merge(self, fragment: bytes) -> list[int]:
         """Apply the merges in rank order, leftmost first, to one fragment."""
-        ids: list[int] = [self.id_of_byte[b] for b in fragment]
+        ids = [self.id_of_byte[b] for b in fragment]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        rank_of = self.ranks.get
+        ranks = [rank_of(pair, NO_JOIN) for pair in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) != NO_JOIN:
+            i = ranks.index(least)
+            ids[i : i + 2] = [least & 0xFFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), NO_JOIN)
+            if i < len(ranks):
+                ranks[i] = rank_of((ids[i], ids[i + 1]), NO_JOIN)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
-        if n == 1:
-            return (ids[0],)
         joins, after, before = self.joins, [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(*j, i, ids[i], ids[i + 1]) for i in range(n - 1) if (j := joins.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(j[0], i, j[1], ids[i], ids[i + 1]) for i in range(n - 1) if (j := joins.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
         while heap:
             _, i, new, a, b = heapq.heappop(heap)
@@ -87,23 +105,24 @@ class ForcedBoundaryBpe:
                     heapq.heappush(heap, (j[0], i, j[1], new, ids[nxt]))
             if (left := before[i]) >= 0 and (j := joins.get((ids[left], new))):
                 heapq.heappush(heap, (j[0], left, j[1], ids[left], new))
-        return tuple(i for i in ids if i >= 0)
+        return [i for i in ids if i >= 0]
 
     def encode_word(self, word: bytes) -> list[int]:
         """Cut one pre-token where no vocabulary token can reach across, and encode the fragments."""
+        cut = self.cut
+        places = [i for i, (a, b) in enumerate(zip(word, word[1:]), 1) if cut[a << 8 | b]]
+        if not places:
+            return self.merge(word)
         out: list[int] = []
-        start = 0
-        for i in range(1, len(word) + 1):
-            if i == len(word) or word[i] in self.cut_after[word[i - 1]]:
-                fragment = word[start:i]
-                if (ids := self.fragments.get(fragment)) is None:
-                    ids = self.merge(fragment)
-                    if len(fragment) <= 64:
-                        if len(self.fragments) >= REMEMBERED:
-                            self.fragments.clear()
-                        self.fragments[fragment] = ids
-                out += ids
-                start = i
+        for start, end in zip([0, *places], [*places, len(word)]):
+            fragment = word[start:end]
+            if (ids := self.fragments.get(fragment)) is None:
+                ids = self.merge(fragment)
+                if len(fragment) <= SHORT:
+                    if len(self.fragments) >= REMEMBERED_FRAGMENTS:
+                        self.fragments.clear()
+                    self.fragments[fragment] = ids
+            out += ids
         return out
 
     def encode(self, text: str) -> bytes:
@@ -132,7 +151,10 @@ class _Words(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.bpe.encode_word(word.encode()), dtype="<u4").tobytes()
+        ids = array("I", self.bpe.encode_word(word.encode()))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        ids = ids.tobytes()
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
