@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: Folder for intermediate tables where the session names none (tests, laptops).
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
+from ..shared import materialize, new_shared_path  # noqa: F401 - for the operators
+
 #: ASCII white space that separates words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -18,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; ours only where the session has none."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_SHARED_DIR).rstrip("/")
-
-
-def new_shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage at files that outlive executors."""
-    spark = df.sparkSession
-    path = new_shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(doc_id: Column | str, parts: int = 5) -> Column:
     """crc32 of the id as text, modulo parts; 0 for a null id, so that such rows are never learned from."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -26,8 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..operators.graph import connected_components
 from .common import map_texts, materialize
-from .components import connected_components
 
 BITS = 64
 #: Largest bucket in which all pairs are compared; larger ones take the exact way without pairs.
@@ -154,7 +154,7 @@ def near_links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     keyed = nodes.select("node", F.explode(probe_keys(plan_partitions(nodes, n, max_bits))).alias("k")).select("node", "k.part", "k.value")
     sizes = materialize(keyed.groupBy("part", "value").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
     members = materialize(keyed.join(sizes, ["part", "value"]), "bucket-members")
-    lists = members.where(F.col("size") <= BUCKET).groupBy("part", "value").agg(F.collect_list("node").alias("all"))
+    lists = members.where(F.col("size") <= BUCKET).groupBy("part", "value").agg(F.sort_array(F.collect_list("node")).alias("all"))
     near = F.expr(f"flatten(transform(all, (x, i) -> transform(filter(all, (y, j) -> j > i and bit_count(x ^ y) <= {max_bits}), y -> struct(x as a, y as b))))")
     small = lists.select(F.explode(near).alias("p")).select("p.a", "p.b")
     around = F.array(F.col("node"), *[F.col("node").bitwiseXOR(F.lit(mask_of([b]))) for b in range(BITS)])
