@@ -117,5 +117,5 @@ def write_pooled(pooled: DataFrame, path: str, fmt: str = "json") -> None:
 
 def topic_answers(cells: DataFrame, topic: str | None = None) -> DataFrame:
     """Answers of the structures that a topic rule matches, or of one topic only; pruned before anything is shuffled."""
-    matched = with_topic(cells).where(F.col("topic_id").isNotNull())
+    matched = (cells if "topic_id" in cells.columns else with_topic(cells)).where(F.col("topic_id").isNotNull())
     return answers_of(matched if topic is None else matched.where(F.col("topic_id") == topic))

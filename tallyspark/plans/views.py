@@ -64,19 +64,23 @@ def with_question(df: DataFrame) -> DataFrame:
     return df.withColumns({"title": pick(tuple(t for t, _ in QUESTIONS), F.col("question_no")), "prompt": pick(tuple(p for _, p in QUESTIONS), F.col("question_no"))})
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per answer row and column of a crosstab; a structure is an order, an answer row a line number of it."""
+def cells(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    """One row per answer row and column of a crosstab; a structure is an order, an answer row a line number of it.
+
+    own: polls, all by default; further columns of it are kept, so that topics can be matched and pruned by poll
+    before the join with the lines.
+    """
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
-    own = table(spark, sf_dir, "orders").select(*[c.alias(n) for n, c in poll_columns().items()])
+    own = polls(spark, sf_dir) if own is None else own
+    kept = [c for c in own.columns if c not in ("poll_key", "article_url")]
     joined = rows.join(own, rows["l_orderkey"] == own["poll_key"])
     labels, groups = tuple(c for c, _ in COLUMNS), tuple(g for _, g in COLUMNS)
     first, second = F.pmod("poll_key", F.lit(7)), F.pmod("poll_key", F.lit(5))
     none = F.lit(None).cast("string")
     column = lambda i, label, group: F.struct(F.lit(i).alias("col_idx"), label.alias("column_label"), group.alias("group_title"))
     columns = F.explode(F.array(column(0, F.lit("Total"), none), column(1, pick(labels, first), pick(groups, first)), column(2, pick(labels, second), pick(groups, second))))
-    wide = joined.select("poll_key", "source_id", "source_rank", "published_on", "question_no", F.col("l_linenumber").alias("row_idx"), pick(ANSWERS, F.col("l_linenumber") - 1).alias("row_label"), "quantity", columns.alias("c"))
-    long = wide.select(F.col("poll_key").alias("structure_idx"), "source_id", "source_rank", "published_on", "question_no", F.lit(0).alias("panel_idx"), "row_idx", "row_label", "c.col_idx", "c.column_label", "c.group_title", (F.col("quantity") + F.col("c.col_idx") * F.pmod("row_idx", F.lit(3))).alias("value"))
-    return with_question(long)
+    wide = joined.select("poll_key", *kept, F.col("l_linenumber").alias("row_idx"), pick(ANSWERS, F.col("l_linenumber") - 1).alias("row_label"), "quantity", columns.alias("c"))
+    return wide.select(F.col("poll_key").alias("structure_idx"), *kept, F.lit(0).alias("panel_idx"), "row_idx", "row_label", "c.col_idx", "c.column_label", "c.group_title", (F.col("quantity") + F.col("c.col_idx") * F.pmod("row_idx", F.lit(3))).alias("value"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

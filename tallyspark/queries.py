@@ -18,22 +18,27 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def topic_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of polls that a topic rule matches; topics are matched once a poll."""
+    return views.cells(spark, sf, pooling.with_topic(views.polls(spark, sf)).where("topic_id is not null"))
+
+
 def pooled_topic_by_demographic(spark: SparkSession, sf: str) -> DataFrame:
     """Presidential approval by demographic, pooled over all polls."""
-    return workloads.pooled_topic(views.cells(spark, sf), "presidential-approval").withColumn("value", r6("value"))
+    return workloads.pooled_topic(topic_cells(spark, sf), "presidential-approval").withColumn("value", r6("value"))
 
 
 def pooled_all_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return pooling.pool(pooling.topic_answers(views.cells(spark, sf))).withColumn("value", r6("value"))
+    return pooling.pool(pooling.topic_answers(topic_cells(spark, sf))).withColumn("value", r6("value"))
 
 
 def pooled_nested(spark: SparkSession, sf: str) -> DataFrame:
-    nested = pooling.nest_pooled(pooling.pool(pooling.topic_answers(views.cells(spark, sf))))
+    nested = pooling.nest_pooled(pooling.pool(pooling.topic_answers(topic_cells(spark, sf))))
     return nested.select("topic_id", "demographic_id", F.size("answers").cast("long").alias("n_answers"), F.array_join(F.transform("answers", lambda a: a["id"]), "|").alias("ids"))
 
 
 def answer_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    total = pooling.with_topic(views.cells(spark, sf)).where("topic_id is not null and col_idx = 0")
+    total = topic_cells(spark, sf).where("col_idx = 0")
     return pooling.roll_up(total, ["structure_idx", "topic_id"])
 
 
@@ -43,7 +48,7 @@ def demographic_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_demographics(spark: SparkSession, sf: str) -> DataFrame:
-    answers = pooling.topic_answers(views.cells(spark, sf))
+    answers = pooling.topic_answers(topic_cells(spark, sf))
     return answers.groupBy("structure_idx").agg(F.count_distinct("demographic_id").alias("n_demographics"), F.sum("value").alias("total"))
 
 
