@@ -6,9 +6,10 @@ predicts it, with an escape (method C: as many escape counts as the context has
 shorter context for a byte not seen there, and 8 bits below order zero. The statistics are frozen; the language with
 the shortest code wins, ties going to the first in sorted order.
 
-The trees are counted in Spark on a bounded sample of rows with a language: about `docs_per_language` texts of at most
-`max_doc_bytes` bytes for each language, the same ones in each run. Contexts of three and more bytes with a single
-observation are pruned. Every whole text is scored.
+The trees are counted in Spark on a bounded sample of rows with a language: at most `docs_per_language` texts for each
+language, whatever their length, and at most `bytes_per_doc` bytes of each, taken in slices over the whole text; the
+same ones in each run. Contexts of three and more bytes with a single observation are pruned. Every whole text is
+scored, a very long one in blocks of `BLOCK` bytes that begin with the bytes before them as context.
 
 Defined results: `und` and score 0 for a null text, a text without a letter, and where nothing could be learned; null
 ids and null languages are never learned from; repeated rows are scored each; columns named like an output column are
@@ -23,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import crc_mod, hash_fraction, map_texts
+from .common import bounded_sample, crc_mod, map_texts, slices
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -137,6 +138,16 @@ class PpmModel:
                 break
         return costs
 
+    def long_bits(self, raw: bytes) -> np.ndarray:
+        """Code length of one text under each language, block by block."""
+        out = np.zeros(len(self.languages))
+        for at in range(0, len(raw), BLOCK):
+            before = min(at, self.order)
+            data = np.frombuffer(raw, dtype=np.uint8, count=min(BLOCK, len(raw) - at) + before, offset=at - before)
+            place = np.arange(len(data)) + (at - before)
+            out += self._by_byte(gram_codes(data, self.order + 1)[before:], place[before:]).sum(0, dtype=np.float64)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and its share among 2 ** -bits of all languages."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -149,7 +160,7 @@ class PpmModel:
                 part.append((todo[at], raw))
                 size += len(raw)
                 at += 1
-            bits = self.bits([raw for _, raw in part])
+            bits = self.bits([raw for _, raw in part]) if len(part) > 1 else self.long_bits(part[0][1])[None]
             best = bits.argmin(1)
             share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
             for (i, _), b, s in zip(part, best, share):
@@ -157,16 +168,24 @@ class PpmModel:
         return names, scores
 
 
-def gram_counts(df: DataFrame, order: int, text_col: str, lang_col: str) -> DataFrame:
-    """language, length, gram and n over all texts of df, summed in each batch before the shuffle."""
+def drawn(raw: bytes, most: int, parts: int = 8) -> list[bytes]:
+    """The text, or slices of it from its begin to its end that have `most` bytes together."""
+    if len(raw) <= most:
+        return [raw]
+    size = most // parts
+    return [raw[at : at + size] for at in np.linspace(0, len(raw) - size, parts).astype(int).tolist()]
+
+
+def gram_counts(df: DataFrame, order: int, text_col: str, lang_col: str, bytes_per_doc: int = 8192) -> DataFrame:
+    """language, length, gram and n over the texts of df, summed in each batch before the shuffle."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, n in slices(batch.column(1), 256):
+                part = batch.slice(at, n)
                 by_lang: dict[str, list[bytes]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    by_lang.setdefault(lang, []).append(text.encode())
+                    by_lang.setdefault(lang, []).extend(drawn(text.encode(), bytes_per_doc))
                 for lang, texts in by_lang.items():
                     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
                     sizes = np.array([len(t) for t in texts])
@@ -181,12 +200,11 @@ def gram_counts(df: DataFrame, order: int, text_col: str, lang_col: str) -> Data
     return parts.groupBy("language", "length", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, docs_per_language: int = 400, max_doc_bytes: int = 8192) -> PpmModel:
+def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, docs_per_language: int = 400, bytes_per_doc: int = 8192) -> PpmModel:
     """Fit the trees on the bounded sample; df holds the rows that may be learned from."""
-    usable = df.where(F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, max_doc_bytes) & F.col(text_col).rlike(r"\p{L}"))
-    per_lang = usable.groupBy(F.col(lang_col).alias("language")).count()
-    sample = usable.join(F.broadcast(per_lang), F.col(lang_col) == F.col("language")).where(hash_fraction(F.col(id_col), 10) < F.lit(float(docs_per_language)) / F.col("count"))
-    counts = gram_counts(sample, order, text_col, lang_col).where("length <= 2 or n >= 2").toPandas()
+    usable = df.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & F.col(text_col).rlike(r"\p{L}"))
+    sample = bounded_sample(usable, id_col, docs_per_language, seed=10, within=lang_col)
+    counts = gram_counts(sample, order, text_col, lang_col, bytes_per_doc).where("length <= 2 or n >= 2").toPandas()
     return PpmModel(counts, sorted(counts["language"].unique()), order)
 
 

@@ -3,17 +3,21 @@
 A text is a bag of passages of `PASSAGE_WORDS` words. Every passage becomes a vector of byte-class shares, shares of
 pairs of byte classes, and word statistics; a learned layer encodes it; gated attention (a tanh and a sigmoid branch)
 weighs the passages of a text against each other; the weighted sum is scored. Only the text's label is known, so the
-weights of the passages are learned from it. The network is trained on a bounded sample of labelled rows; every whole
-text is scored.
+weights of the passages are learned from it. The network is trained on a bounded sample of labelled rows of any length,
+of each of which it sees at most `passages_per_doc` passages, drawn evenly over the whole text; every whole text is
+scored. The passages of a very long text come in blocks of about `BLOCK` bytes whose weighted sums are added up.
 
 Defined results: a null or empty text is one empty passage and gets the score of that; if labels of both kinds are
 missing, every score is 1 (nothing is rejected); rows with a null id are never learned from; several labels of one id
 count as the lowest; repeated rows are scored each; columns named like an output column are replaced; an empty table
-gives an empty table.
+gives an empty table. A very long text takes some 90 bytes of memory a byte of one block, not of the text; a passage is
+held whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -45,10 +49,30 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of all passages, and the number of the text that each belongs to; whole texts, in arrays."""
-    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)  # the added line end closes a text's last word
+def passage_blocks(raw: bytes, size: int = BLOCK) -> Iterator[bytes]:
+    """A text cut where a passage begins, into blocks of at most `size` bytes unless one passage is longer."""
+    at = 0
+    while len(raw) - at > size:
+        take = size
+        while True:
+            data = np.frombuffer(raw, dtype=np.uint8, count=min(take, len(raw) - at), offset=at)
+            space = _SPACE[data]
+            begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+            whole = (len(begins) - 1) // PASSAGE_WORDS * PASSAGE_WORDS
+            if whole > 0 or take >= len(raw) - at:
+                break
+            take *= 2
+        if whole <= 0:
+            break
+        yield raw[at : at + int(begins[whole])]
+        at += int(begins[whole])
+    yield raw[at:]
+
+
+def passages(texts: list[bytes], closed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of all passages, and the number of the text that each belongs to. closed: it ends with white space."""
+    sizes = np.array([len(t) + (not closed) for t in texts], dtype=np.int64)
+    data = np.frombuffer(b"".join(texts) if closed else b"\n".join(texts) + b"\n", dtype=np.uint8)  # the added line end closes a text's last word
     owner = np.repeat(np.arange(len(texts)), sizes)
     space = _SPACE[data]
     begins = ~space
@@ -115,6 +139,17 @@ class AttentionNet:
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         return self._forward((x - self.mean) / self.spread, starts, owner)[-1]
 
+    def score_blocks(self, blocks: Iterator[np.ndarray]) -> float:
+        """Score of one text whose passages come in blocks."""
+        p, top, total, m = self.p, -np.inf, 0.0, np.zeros(len(self.p["c"]))
+        for x in blocks:
+            z = np.maximum((x - self.mean) / self.spread @ p["W"] + p["b"], 0)
+            e = (np.tanh(z @ p["V"]) / (1 + np.exp(-(z @ p["U"])))) @ p["w"]
+            new = max(top, e.max())
+            e, kept = np.exp(e - new), np.exp(top - new)
+            total, m, top = total * kept + e.sum(), m * kept + e @ z, new
+        return float(1 / (1 + np.exp(-np.clip(m / total @ p["c"] + p["d"][0], -30, 30))))
+
     def train(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 240, rate: float = 0.01, decay: float = 1e-4) -> None:
         """Adam over all texts at once on the log loss; the gradients of the formulas above, by hand."""
         self.mean, self.spread = x.mean(0), x.std(0) + 0.02
@@ -139,6 +174,20 @@ class AttentionNet:
                 p[k] = p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
 
+def block_vectors(raw: bytes) -> Iterator[np.ndarray]:
+    """Vectors of a text's passages, block by block."""
+    left = len(raw)
+    for block in passage_blocks(raw):
+        left -= len(block)
+        yield passages([block], closed=left > 0)[0]
+
+
+def drawn_vectors(raw: bytes, most: int) -> np.ndarray:
+    """Vectors of at most `most` passages of a text, from its begin to its end."""
+    kept = np.concatenate([x for x in block_vectors(raw)])
+    return kept if len(kept) <= most else kept[np.linspace(0, len(kept) - 1, most).astype(int)]
+
+
 def score_texts(net: AttentionNet | None, texts: list[str | None]) -> list[float]:
     out: list[float] = []
     at = 0
@@ -148,27 +197,30 @@ def score_texts(net: AttentionNet | None, texts: list[str | None]) -> list[float
             part.append((texts[at] or "").encode())
             size += len(part[-1])
             at += 1
+        if net and size > 2 * BLOCK:
+            out += [net.score_blocks(block_vectors(raw)) for raw in part]
+            continue
         out += net.score(*passages(part)).tolist() if net else [1.0] * len(part)
     return out
 
 
-def train_quality(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 3000, max_doc_bytes: int = 20_000) -> AttentionNet | None:
-    """Train on about `sample_docs` labelled rows of at most `max_doc_bytes` bytes; both bound what reaches the driver."""
+def train_quality(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = 3000, passages_per_doc: int = 64) -> AttentionNet | None:
+    """Train on at most `sample_docs` labelled ids, one text each, and `passages_per_doc` passages; both bound what reaches the driver."""
     marked = labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull())
-    chosen = bounded_sample(marked.where(crc_mod(id_col) != 0), F.col(id_col), sample_docs, seed=20)
-    own = df.select(F.col(id_col), F.col(text_col)).where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= max_doc_bytes)
-    rows = own.join(F.broadcast(chosen), id_col)
+    chosen = bounded_sample(marked.where(crc_mod(id_col) != 0), id_col, sample_docs, seed=20)
+    rows = df.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col)
 
     def make():
         def run(texts: list) -> list[list]:
-            return [[passages([(t or "").encode()])[0].tobytes() for t in texts]]
+            return [[drawn_vectors((t or "").encode(), passages_per_doc).tobytes() for t in texts]]
 
         return run
 
-    got = map_texts(rows.select(id_col, "quality", text_col), text_col, [T.StructField("passages", T.BinaryType())], make).select(id_col, "quality", "passages").toPandas()
+    got = map_texts(rows.select(id_col, "quality", text_col), text_col, [T.StructField("passages", T.BinaryType())], make).select(id_col, "quality", "passages")
+    got = got.groupBy(id_col).agg(F.min("quality").alias("quality"), F.min("passages").alias("passages")).toPandas()  # of texts with one id the least
     if got["quality"].nunique() < 2:
         return None
-    got = got.sort_values([id_col, "passages"]).reset_index(drop=True)
+    got = got.sort_values(id_col).reset_index(drop=True)
     bags = [np.frombuffer(b, dtype=np.float32).reshape(-1, WIDTH) for b in got["passages"]]
     net = AttentionNet()
     net.train(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), got["quality"].to_numpy(dtype=np.float64))

@@ -1,8 +1,10 @@
 """Quality rules: rule statistics of every text, and an isolation forest over them.
 
 The statistics are counted in one pass over the whole texts. A forest of random splits is grown on a bounded sample of
-the statistics; a document that few splits isolate (a short mean path) is anomalous. The threshold on the anomaly is
-calibrated on all labelled rows: the lowest one that rejects at most `max_false_reject` of the rows labelled good.
+the statistics; a document that few splits isolate (a short mean path) is anomalous. The sample is of rows labelled
+good, so that a common kind of bad text can't pass for usual (without such labels: of all rows with words). The
+threshold on the anomaly is calibrated on all labelled rows: of those that reject at most `max_false_reject` of the rows
+labelled good, the one with the largest share of bad rows rejected less that of good ones.
 
 Words are runs of anything but space and U+0009 to U+000D. Defined results: a null or empty text has no words and
 fails the base rules; without labels of both kinds the forest rejects nothing; repeated rows are judged each; columns
@@ -15,9 +17,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_sample, map_texts, materialize
+from .common import PIECE, bounded_sample, hashed_words, map_texts, materialize
 
 #: Characters that count as symbols; fixed by the rule.
 SYMBOLS = "#*$%&|<>"
@@ -30,6 +33,8 @@ def statistics(text: str | None) -> tuple[int, ...]:
     """The counts BASE and EXTRA of one text."""
     if not text:
         return (0,) * (len(BASE) + len(EXTRA))
+    if len(text) > PIECE:
+        return long_statistics(text)
     raw = text.encode()
     words = raw.split()  # of bytes: splits at exactly the six ASCII spaces
     n = len(words)
@@ -49,6 +54,39 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
+def long_statistics(text: str) -> tuple[int, ...]:
+    """The same counts of a very long text; its words are told by 64-bit hashes, which take 8 bytes each."""
+    raw = text.encode()
+    by_byte = np.zeros(256, dtype=np.int64)
+    for at in range(0, len(raw), PIECE):
+        by_byte += np.bincount(np.frombuffer(raw, dtype=np.uint8, count=min(PIECE, len(raw) - at), offset=at), minlength=256)
+    spaces, symbols = int(by_byte[9:14].sum() + by_byte[32]), int(sum(by_byte[ord(c)] for c in SYMBOLS))
+    n_lines, seen, at = 0, set(), 0
+    while at <= len(raw):
+        end = raw.find(b"\n", at)
+        line = raw[at : end if end >= 0 else len(raw)]
+        if line.strip():
+            n_lines += 1
+            seen.add(line)
+        at = (end if end >= 0 else len(raw)) + 1
+    words, _ = hashed_words(pa.array([text]), lower=False)
+    n = len(words)
+    window = np.zeros(max(n - 2, 0), dtype=np.uint64)
+    for k in range(3 if n > 2 else 0):
+        window = (window ^ (window >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[k : n - 2 + k]
+    order = np.argsort(window, kind="stable")
+    same = window[order][1:] == window[order][:-1]
+    twice = np.zeros(len(window), dtype=bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    marked = np.zeros(n, dtype=bool)
+    for k in range(3 if n > 2 else 0):
+        marked[k : k + len(twice)] |= twice
+    return (
+        n, len(text) - spaces, symbols, n_lines - len(seen), int(marked.sum()),
+        n_lines, len(np.unique(words)), int(by_byte[65:91].sum()), int(by_byte[97:123].sum()), int(by_byte[33:48].sum() + by_byte[58:65].sum()), int(by_byte[48:58].sum()),
+    )
+
+
 def _covered(windows: list[tuple], seen: set) -> int:
     """Words that lie in a window which occurs twice or more."""
     number = dict(zip(seen, range(len(seen))))
@@ -130,6 +168,11 @@ class IsolationForest:
         return 2.0 ** (-total / (max(len(self.trees), 1) * max(self.mean_path(self.rows), 1e-9)))
 
 
+def base_rule(min_words: int, max_repeat_percent: int) -> Column:
+    """Whether the base rules reject a row."""
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
 def quality_rules(
     df: DataFrame,
     labels: DataFrame,
@@ -146,7 +189,10 @@ def quality_rules(
     taken over all labelled rows, by counts of their anomaly in steps of 1/2000.
     """
     counted = materialize(rule_statistics(df.select(id_col, text_col), text_col).drop(text_col), "rule-statistics")
-    sample = bounded_sample(counted.where("n_words > 0"), F.col(id_col), sample_rows).select(id_col, *BASE, *EXTRA).toPandas()
+    marked = materialize(labels.groupBy(F.col(id_col)).agg(F.min("quality").alias("quality")).where("quality is not null"), "rule-labels")
+    good = counted.join(marked.where("quality = 1").select(id_col), id_col, "left_semi")
+    usual = good if good.limit(1).count() else counted.where("n_words > 0")
+    sample = bounded_sample(usual.where(~base_rule(min_words, max_repeat_percent)), id_col, sample_rows).select(id_col, *BASE, *EXTRA).toPandas()
     sample = sample.sort_values([id_col, *BASE]).reset_index(drop=True)
     forest = df.sparkSession.sparkContext.broadcast(IsolationForest(features(sample)))
 
@@ -155,8 +201,7 @@ def quality_rules(
         return pd.Series(forest.value.anomaly(features(p)))
 
     scored = counted.withColumn("anomaly", anomaly(F.struct(*BASE, *EXTRA)))
-    scored = scored.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
-    marked = labels.groupBy(F.col(id_col)).agg(F.min("quality").alias("quality")).where("quality is not null")
+    scored = scored.withColumn("base_failed", base_rule(min_words, max_repeat_percent))
     steps = 2000
     hist = scored.where("not base_failed").join(marked, id_col).groupBy("quality", F.floor(F.col("anomaly") * steps).alias("step")).count().collect()
     threshold = calibrate([(r["quality"], r["step"], r["count"]) for r in hist], steps, max_false_reject)
@@ -164,11 +209,11 @@ def quality_rules(
 
 
 def calibrate(counts: list[tuple[int, int, int]], steps: int, max_false_reject: float) -> float:
-    """The lowest threshold that rejects at most that part of the good rows; infinity without labels of both kinds."""
+    """The threshold that sets bad rows best apart from good ones and rejects at most that part of the good; infinity without labels of both kinds."""
     good, bad = np.zeros(steps + 2), np.zeros(steps + 2)
     for quality, step, n in counts:
         (good if quality == 1 else bad)[min(max(step, 0), steps + 1)] += n
     if not good.sum() or not bad.sum():
         return math.inf
-    lost = np.cumsum(good[::-1])[::-1] / good.sum()  # rejected if the threshold is this step's lower edge
-    return int(np.argmax(lost <= max_false_reject)) / steps
+    lost, caught = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (good, bad))  # if the threshold is this step's lower edge
+    return int(np.argmax(np.where(lost <= max_false_reject, caught - lost, -1.0))) / steps
