@@ -1,10 +1,12 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for what no rule fits.
 
 Everything is a DataFrame expression or a model of pyspark.ml, which runs in the JVM. The trees learn from labelled
-URLs: length, depth, digit ratio, character entropy, number of parameters and the like, and for the last one and two
-labels of the host how often URLs with them are blocked. The labelled URLs of the query are those that a rule decides.
-They are learned from as a bounded sample, which also bounds the table of suffixes that is broadcast; the verdict is
-given to every row.
+URLs: length, depth, digit ratio, character entropy, number of parameters and the like, and for the last one, two and
+three labels of the host how often URLs with them are blocked. These rates are counted over all labelled URLs. For the
+rows that the trees learn from they come from the other hosts only (`FOLDS` folds of hosts), as a rate that a row is
+part of tells its label; and in one fold they count as unseen, so that the trees also learn to judge URLs of unknown
+suffixes. The labelled URLs of the query are those that a rule decides. The trees are grown on a bounded sample of
+distinct URLs; the verdict is given to every row. Rates are broadcast up to `SENT` suffixes, beyond that shuffled.
 
 Defined results: a null URL or one without `://` has empty host and path, fits no rule and is judged by its features;
 with labels of one kind that verdict is given, without any `allow`; repeated rows are judged each; ties between rules
@@ -20,13 +22,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host/path) rules of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "escapes", "longest_part", "has_fragment", "has_scheme_s")
-SUFFIX = ("suffix_rate", "domain_rate", "suffix_seen")
+#: Levels of suffixes: column and number of labels.
+LEVELS = (("suffix", 1), ("domain", 2), ("site", 3))
+SUFFIX = tuple(f"{level}_{what}" for level, _ in LEVELS for what in ("rate", "seen"))
+FOLDS, SENT = 5, 200_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -52,7 +57,7 @@ def count_of(text: Column, what: str) -> Column:
 
 
 def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
-    """Add the LEXICAL columns, suffix and domain; df has host and path."""
+    """Add the LEXICAL columns and those of LEVELS; df has host and path."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     chars = F.regexp_extract_all(url, F.lit("(?s)."), F.lit(0))
@@ -74,17 +79,71 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "has_fragment": url.contains("#").cast("int"),
         "has_scheme_s": url.startswith("https:").cast("int"),
     }
-    return df.withColumns({k: v.cast("double") for k, v in values.items()}).withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    return df.withColumns({k: v.cast("double") for k, v in values.items()}).withColumns({level: F.substring_index("host", ".", -n) for level, n in LEVELS})
 
 
-def suffix_table(sample: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked URLs and their number, by suffix; as many rows as the sample at most."""
-    return sample.groupBy(key).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"{key}_rate"), F.log1p(F.count("*")).alias(f"{key}_seen"))
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host, F.lit(41)), F.lit(FOLDS))
 
 
-def with_suffixes(df: DataFrame, suffixes: DataFrame, domains: DataFrame) -> DataFrame:
-    joined = df.join(F.broadcast(suffixes), "suffix", "left").join(F.broadcast(domains.drop("domain_seen")), "domain", "left")
-    return joined.fillna(0.5, ["suffix_rate", "domain_rate"]).fillna(0.0, ["suffix_seen"])
+def suffix_counts(known: DataFrame, level: str, n: int) -> DataFrame:
+    """URLs and blocked URLs of each fold, by suffix; known: host and label. Summed up before the shuffle."""
+    own = known.select(F.substring_index("host", ".", -n).alias(level), fold_of(F.col("host")).alias("fold"), "label")
+    of_fold = lambda k, what: F.sum(F.when(F.col("fold") == k, what).otherwise(0.0))
+    counted = own.groupBy(level).agg(F.array(*[of_fold(k, F.lit(1.0)) for k in range(FOLDS)]).alias(f"{level}_n"), F.array(*[of_fold(k, F.col("label")) for k in range(FOLDS)]).alias(f"{level}_blocked"))
+    return materialize(counted, f"rates-{level}")
+
+
+def with_rates(df: DataFrame, tables: list[DataFrame], learning: bool) -> DataFrame:
+    """Add the SUFFIX columns: smoothed share of blocked URLs and log number of URLs; df has host and the columns of LEVELS.
+
+    learning: without the row's own fold, and for hosts of fold 0 as if their suffixes were unseen.
+    """
+    fold = fold_of(F.col("host"))
+    for (level, _), counts in zip(LEVELS, tables):
+        df = df.join(F.broadcast(counts) if counts.count() <= SENT else counts, level, "left")
+
+        def total(name: str, level: str = level) -> Column:
+            all_of = F.coalesce(F.aggregate(f"{level}_{name}", F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+            if not learning:
+                return all_of
+            return F.when(fold == 0, 0.0).otherwise(all_of - F.coalesce(F.get(f"{level}_{name}", fold.cast("int")), F.lit(0.0)))
+
+        n, blocked = total("n"), total("blocked")
+        df = df.withColumns({f"{level}_rate": (blocked + 1) / (n + 2), f"{level}_seen": F.log1p(n)}).drop(f"{level}_n", f"{level}_blocked")
+    return df
+
+
+class UrlModel:
+    """Boosted trees over lexical features and suffix rates, or the only kind of label there is."""
+
+    def __init__(self, known: DataFrame, url_col: str, sample_rows: int, trees: int, depth: int) -> None:
+        """known: url, host, path and label (1: block)."""
+        kinds = [r["label"] for r in known.select("label").distinct().collect()]
+        self.only = None if len(kinds) > 1 else kinds[0] if kinds else 0.0
+        self.url_col = url_col
+        if self.only is None:
+            self.tables = [suffix_counts(known, level, n) for level, n in LEVELS]
+            sample = materialize(bounded_sample(known.select(url_col, "host", "path", "label"), url_col, sample_rows, seed=30), "url-sample")
+            self.vector = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="_vector")
+            learned = self.vector.transform(with_rates(with_features(sample, url_col), self.tables, learning=True)).select("_vector", "label")
+            learned = materialize(learned, "url-features").coalesce(4).cache()
+            self.trees = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(learned)
+            learned.unpersist()
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Add block_score to rows with url, host and path."""
+        if self.only is not None:
+            return df.withColumn("block_score", F.lit(float(self.only)))
+        judged = self.trees.transform(self.vector.transform(with_rates(with_features(df, self.url_col), self.tables, learning=False)))
+        return judged.withColumn("block_score", vector_to_array("probability")[1])
+
+
+def labelled_urls(df: DataFrame, url_col: str) -> DataFrame:
+    """url, host, path and label of rows with url and verdict."""
+    host, path = url_parts(F.col(url_col))
+    known = df.where(F.col(url_col).isNotNull() & F.col("verdict").isin("allow", "block"))
+    return known.select(url_col, host.alias("host"), path.alias("path"), (F.col("verdict") == "block").cast("double").alias("label"))
 
 
 def filter_urls(
@@ -99,27 +158,14 @@ def filter_urls(
 ) -> DataFrame:
     """id, host, path, rule, verdict and the trees' score (how likely block is) of every row.
 
-    labelled: url and verdict; without it the URLs that a rule decides are the labelled ones. sample_rows bounds what is
-    learned from.
+    labelled: url and verdict; without it the URLs that a rule decides are the labelled ones. sample_rows bounds the
+    distinct URLs on which the trees are grown.
     """
     host, path = url_parts(F.col(url_col))
     ruled = df.select(id_col, url_col, host.alias("host"), path.alias("path"))
     rule, say = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = ruled.withColumns({"rule": rule, "said": say})
-    if labelled is None:
-        known = ruled.where(F.col("said").isNotNull()).select(url_col, "host", "path", F.col("said").alias("verdict"))
-    else:
-        known = labelled.select(F.col("url").alias(url_col), "verdict").withColumns({"host": url_parts(F.col(url_col))[0], "path": url_parts(F.col(url_col))[1]})
-    sample = bounded_sample(known.where(F.col(url_col).isNotNull() & F.col("verdict").isin("allow", "block")), F.col(url_col), sample_rows, seed=30)
-    sample = with_features(sample.withColumn("label", (F.col("verdict") == "block").cast("double")), url_col).coalesce(4).cache()
-    kinds = [r["label"] for r in sample.select("label").distinct().collect()]
-    if len(kinds) < 2:
-        score = F.lit(float(kinds[0]) if kinds else 0.0)
-        return ruled.withColumns({"block_score": score, "verdict": F.coalesce("said", F.when(score >= 0.5, "block").otherwise("allow"))}).select(id_col, "host", "path", "rule", "verdict", "block_score")
-    suffixes, domains = suffix_table(sample, "suffix"), suffix_table(sample, "domain")
-    vector = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="_vector")
-    model = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(vector.transform(with_suffixes(sample, suffixes, domains)).select("_vector", "label"))
-    judged = model.transform(vector.transform(with_suffixes(with_features(ruled, url_col), suffixes, domains)))
-    judged = judged.withColumn("block_score", vector_to_array("probability")[1])
+    known = ruled.withColumn("verdict", F.col("said")) if labelled is None else labelled.select(F.col("url").alias(url_col), "verdict")
+    model = UrlModel(labelled_urls(known, url_col), url_col, sample_rows, trees, depth)
     verdict = F.coalesce("said", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "block_score")
+    return model.score(ruled).select(id_col, "host", "path", "rule", verdict.alias("verdict"), "block_score")
