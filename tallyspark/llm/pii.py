@@ -1,21 +1,25 @@
 """Personal data with DataFrame functions only: patterns propose spans, checks confirm them, nearby words adjust scores.
 
 Kinds: email, ip, card, phone (the base, kept whatever their score), and iban and ssn, which need a score of
-`MIN_SCORE`: an iban must pass mod-97, an ssn must be a number that is given out, and context words near a span raise
-its score.
+`MIN_SCORE`: an iban must pass mod-97 and have its country's length or a context word near it, an ssn must be a number
+that is given out and have a context word near it. Context words are whole words within `CONTEXT_CHARS` characters
+before or after a span, outside it; they raise its score.
 
 Patterns of the base that repeat a group are matched in an equal form that Java's engine matches in linear time and
 without recursion: a separator that joins two digits, and a dot that joins two labels, is first replaced by a private
 character of the same length; then each pattern is a plain run of characters. Spans are in code points, ends exclusive.
 
 Defined results: a null or empty text has no spans; repeated rows are searched each; spans of different kinds may
-overlap, those of one kind don't; columns named like an output column are replaced; an empty table gives an empty table.
+overlap, those of one kind don't; the column named like the output column is replaced, others stay; an empty table gives an empty table. A very long
+text is one value, and a few copies of it are held.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh_name
+
 #: Private characters that stand for joining separators and dots, and one that stands for these if a text holds them.
 JOINT, DOT, OTHER = "\ue000", "\ue001", "\ue002"
 #: Kinds in the order in which spans of one start are listed.
@@ -29,15 +33,20 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 #: Words near a span that make its kind likelier.
 CONTEXT = {
-    "email": "mail|contact|write",
-    "ip": "address|host|server|login",
-    "card": "card|visa|mastercard|credit|debit|payment",
-    "phone": "phone|tel|call|mobile|fax",
-    "iban": "iban|account|bank|transfer|konto|compte|cuenta",
+    "email": "e-?mails?|contacts?|write",
+    "ip": "ip|address|addresses|hosts?|servers?|login",
+    "card": "cards?|visa|mastercard|credit|debit|payments?",
+    "phone": "phones?|tel|call|mobile|fax",
+    "iban": "iban|accounts?|bank|transfers?|konto|compte|cuenta",
     "ssn": "ssn|social security|taxpayer",
 }
+#: Lengths of IBANs by country; fixed values.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE LT LU XK", 21: "CH HR LI LV", 22: "BG DE GB GE IE ME RS VA",
+    23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS", 27: "FR GR IT MC SM", 28: "AL AZ CY HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
 #: Score of a confirmed span without context; a context word adds CONTEXT_BONUS.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.5, "ssn": 0.4}
 CONTEXT_BONUS, CONTEXT_CHARS, MIN_SCORE = 0.35, 40, 0.6
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
@@ -86,15 +95,23 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _judged(kind: str, rank: int) -> Column:
+def _judged(kind: str, rank: int, text: Column, proposed: Column) -> Column:
     """Confirmed spans of one kind with their scores; those of added kinds only with a high one."""
 
     def judge(x: Column) -> Column:
-        around = F.substring(F.col("_clean"), F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, x["end"] - x["start"] + 2 * CONTEXT_CHARS)
-        score = F.lit(BASE_SCORE[kind]) + F.when(F.lower(around).rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
+        first = F.greatest(x["start"] - CONTEXT_CHARS - 1, F.lit(0))  # one more, so that a cut word is not taken for a whole one
+        before, after = F.substring(text, first + 1, x["start"] - first), F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS + 1))
+        near = F.lower(F.concat(before, F.lit("\n"), after)).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{CONTEXT[kind]})(?![\p{{L}}\p{{N}}])")
+        score = F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
+        if kind == "iban":
+            number = F.replace(x["match"], F.lit(" "), F.lit(""))
+            known = F.lit(False)
+            for size, countries in IBAN_LENGTHS.items():
+                known = known | ((F.length(number) == size) & F.substring(number, 1, 2).isin(countries.split()))
+            score = score + F.when(known, CONTEXT_BONUS).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
-    judged = F.transform(F.filter(F.col(f"_{kind}"), lambda x: confirmed(kind, x["match"])), judge)
+    judged = F.transform(F.filter(proposed, lambda x: confirmed(kind, x["match"])), judge)
     return judged if kind in BASE_KINDS else F.filter(judged, lambda x: x["score"] >= MIN_SCORE)
 
 
@@ -103,21 +120,24 @@ def find_personal_data(df: DataFrame, text_col: str = "text", out: str = "pii_sp
     text = F.coalesce(F.col(text_col), F.lit(""))
     clean = F.when(text.rlike(f"[{JOINT}{DOT}{OTHER}]"), F.translate(text, JOINT + DOT, OTHER + OTHER)).otherwise(text)
     none = F.array().cast(SPAN)
+    clean_name = fresh_name(df, "_clean")
+    names = {k: fresh_name(df, f"_{k}") for k in KINDS}
+    clean_text = F.col(clean_name)
     has_number = text.rlike("(?:[0-9][ -]?){13}[0-9]")
     proposed = {
-        "email": F.when(text.contains("@"), spans_of(F.regexp_replace(F.col("_clean"), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT), EMAIL)),
-        "ip": F.when(text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), spans_of(F.col("_clean"), IP)),
-        "card": F.when(has_number, spans_of(F.regexp_replace(F.col("_clean"), "(?<=[0-9])[ -](?=[0-9])", JOINT), CARD)),
-        "phone": F.when(text.rlike(r"\+[0-9]"), spans_of(F.col("_clean"), PHONE)),
-        "iban": F.when(text.rlike("(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9 ]"), spans_of(F.col("_clean"), IBAN)),
-        "ssn": F.when(text.rlike("[0-9]-[0-9]{2}-[0-9]{4}"), spans_of(F.col("_clean"), SSN)),
+        "email": F.when(text.contains("@"), spans_of(F.regexp_replace(clean_text, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", DOT), EMAIL)),
+        "ip": F.when(text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), spans_of(clean_text, IP)),
+        "card": F.when(has_number, spans_of(F.regexp_replace(clean_text, "(?<=[0-9])[ -](?=[0-9])", JOINT), CARD)),
+        "phone": F.when(text.rlike(r"\+[0-9]"), spans_of(clean_text, PHONE)),
+        "iban": F.when(text.rlike("(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9 ]"), spans_of(clean_text, IBAN)),
+        "ssn": F.when(text.rlike("[0-9]-[0-9]{2}-[0-9]{4}"), spans_of(clean_text, SSN)),
     }
-    marked = df.withColumn("_clean", clean).withColumns({f"_{k}": F.coalesce(v, none) for k, v in proposed.items()})
-    scored = [_judged(kind, rank) for rank, kind in enumerate(KINDS)]
-    any_found = F.greatest(*[F.size(f"_{k}") for k in KINDS]) > 0
+    marked = df.withColumn(clean_name, clean).withColumns({names[k]: F.coalesce(v, none) for k, v in proposed.items()})
+    scored = [_judged(kind, rank, clean_text, F.col(names[kind])) for rank, kind in enumerate(KINDS)]
+    any_found = F.greatest(*[F.size(names[k]) for k in KINDS]) > 0
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
     found = marked.withColumn(out, F.when(any_found, F.array_sort(F.concat(*scored))).otherwise(empty))
-    return found.drop("_clean", *[f"_{k}" for k in KINDS])
+    return found.drop(clean_name, *names.values())
 
 
 def span_text(spans: Column) -> Column:
