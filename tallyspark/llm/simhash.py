@@ -14,7 +14,8 @@ at most 65 different fingerprints can name one value.
 
 Defined results: a text without words (or null) has fingerprint 0, linked like any other; rows with equal ids are
 each returned; a null id gets its group's smallest id, or null if the group has none; ties go to the smallest id;
-columns named like an output column are replaced; an empty table gives an empty table.
+columns named like an output column are replaced; an empty table gives an empty table. A very long text is read in
+pieces of a million characters.
 """
 
 from __future__ import annotations
@@ -27,30 +28,41 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.graph import connected_components
-from .common import map_texts, materialize
+from .common import fresh_name, map_texts, materialize, pieces
 
 BITS = 64
 #: Largest bucket in which all pairs are compared; larger ones take the exact way without pairs.
 BUCKET = 48
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return ones
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The fingerprint of one text as a signed 64-bit number."""
-    tokens = text.encode().lower().split() if text else []  # of bytes: ASCII letters and ASCII spaces only
-    if not tokens:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(tokens)
-    if len(tokens) <= words:
-        hashes = np.array([digest(joined, seed)], dtype=np.uint64)
-    else:
+    digest, ones, n, tail = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64), 0, []
+    for piece in pieces(text or ""):
+        tokens = tail + piece.encode().lower().split()  # of bytes: ASCII letters and ASCII spaces only
+        tail = tokens[max(len(tokens) - words + 1, 0) :]  # begins the next piece's first shingles
+        if len(tokens) < words:
+            tail = tokens
+            continue
+        joined = b" ".join(tokens)
         ends = np.cumsum([len(t) + 1 for t in tokens])
         starts = np.concatenate([[0], ends[:-1]])[: len(tokens) - words + 1].tolist()
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())], dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+        n += len(hashes)
+        ones += set_bits(hashes)
+    if not n:  # fewer words than a shingle has
+        if not tail:
+            return 0
+        n, ones = 1, set_bits(np.array([digest(b" ".join(tail), seed)], dtype=np.uint64))
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", out: str = "fingerprint", words: int = 3) -> DataFrame:
@@ -175,14 +187,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without near-duplicates: of each component the row with the smallest id (repeated rows: one).
+    """The rows of df without near-duplicates: of each component one row, the one with the smallest id.
 
-    Rows with a null id stay only where their component has no id; of such rows one stays.
+    A row is known by its id and fingerprint, so that rows with one id and unlike texts are different documents. Of
+    rows with the smallest id and different fingerprints of one component the lowest fingerprint stays, of repeated
+    rows one. A row with a null id stays where its component has no id.
     """
     found = near_duplicates(df, id_col, text_col)
-    named = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = df.join(named, id_col, "left_semi").dropDuplicates([id_col])
-    bare = found.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    nameless = fingerprints(df.where(F.col(id_col).isNull()), text_col, "own_fingerprint")
-    nameless = nameless.join(bare, nameless["own_fingerprint"] == bare["fingerprint"], "left_semi").dropDuplicates(["own_fingerprint"]).drop("own_fingerprint")
-    return kept.unionByName(nameless)
+    own_id, own_print, mark = (fresh_name(df, c) for c in ("kept_id", "kept_fingerprint", "own_fingerprint"))
+    best = found.groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fingerprint")).alias("_m"))
+    best = best.select(F.col("_m.id").alias(own_id), F.col("_m.fingerprint").alias(own_print))
+    marked = fingerprints(df, text_col, mark)
+    same = marked[id_col].eqNullSafe(best[own_id]) & (marked[mark] == best[own_print])
+    return marked.join(best, same, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
