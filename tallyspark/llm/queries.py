@@ -91,5 +91,15 @@ QUERIES = {
     "op10_language_ppm": op10_language_ppm,
 }
 
+#: SHA-1 in base32: five bits at a time, of five hexadecimal digits for four letters.
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '')"
+
 #: DuckDB SQL for the rows of a query, where SQL can express them.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d""",
+}

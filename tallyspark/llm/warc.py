@@ -2,17 +2,23 @@
 
 Archives are written by Spark's text writer, one gzip member a record, so that its commit protocol holds if tasks are
 lost or repeated; the line separator between two records is an empty gzip member, which readers of .warc.gz skip. Of
-pages with equal payloads the one with the smallest id is a response record and the others are revisits of it.
+pages with equal payloads the one with the smallest id is a response record and the others are revisits of it. Which is
+which is known from ids and digests alone: the repeated digests are sent to the tasks (up to `SENT` of them; beyond
+that they are joined by a shuffle).
 
 The index is made by reading the archives back. Its keys are the URL with its host reversed ("com,example,www)/path")
-and the record's page id; sorted over range partitions they are packed into compressed blocks of `BLOCK_KEYS` keys, with
-a sparse directory of the first key of each block and, above it, of each partition. A lookup searches the partitions'
-first keys, then the blocks' first keys, then the block, each by bisection, and yields file, offset and length; records
-are then cut from their files at these ranges.
+and the record's page id; sorted over range partitions they are packed into compressed blocks of `BLOCK_KEYS` keys,
+which lie one after the other in index files like records in archives. A sparse directory has the first and last key of
+each block with its file, offset and length, and above it there is one range of keys a partition. A lookup searches
+the ranges, then the directory, reads the one block, searches that, each by bisection, and yields file, offset and
+length; records are then read from their files at these ranges. No archive or block content is ever shuffled.
+
+Ranges are read through Arrow's file systems (local, HDFS, S3, GCS, ABFS).
 
 Defined results: a null payload counts as empty; a null URL has no target and the key "-"; rows with equal ids and
 payloads are all responses if theirs is the smallest id, and are returned each; a null page id is the smallest only
-among null ids; an empty table gives empty archives, index and results; further columns are ignored.
+among null ids; an empty table gives empty archives, index and results; further columns are ignored. A very long
+payload is one record, of which a task holds a few copies.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ ID_PREFIX = "urn:page:"
 #: An empty gzip member; fixed bytes of the format.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 RECORDS_PER_FILE, BLOCK_KEYS, KEYS_PER_PART = 2000, 256, 50_000
+#: Partitions of the index, and so ranges in its upper level; repeated digests that are sent to tasks; bytes read at once.
+LEAST_PARTS, MOST_PARTS, SENT, READ_AT_ONCE = 32, 4096, 1_000_000, 1 << 22
 
 
 def digest_of(payload: bytes) -> str:
@@ -89,22 +97,49 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
-def members(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and unpacked bytes of each record in a file; empty members are passed over."""
-    at, size, step = 0, len(content), 1 << 16
+def members(read, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and unpacked bytes of each gzip member of a file; empty ones are passed over. read: some bytes from an offset."""
+    at, step = 0, 1 << 16
     while at < size:
         unpacker, out, end = zlib.decompressobj(31), [], at
         while not unpacker.eof:
             if end >= size:
-                raise ValueError("archive ends within a record")
-            out.append(unpacker.decompress(content[end : end + step]))
-            end += step
-        end = min(end, size) - len(unpacker.unused_data)
+                raise ValueError("file ends within a member")
+            part = read(end, step)
+            out.append(unpacker.decompress(part))
+            end += len(part)
+        end -= len(unpacker.unused_data)
         if raw := b"".join(out):
             yield at, end - at, raw
         at = end
 
 
+class Ranges:
+    """Reads ranges of files; neighbouring ones come from one read of READ_AT_ONCE bytes."""
+
+    def __init__(self) -> None:
+        self.path, self.file, self.size, self.at, self.held = None, None, 0, 0, b""
+
+    def open(self, path: str) -> None:
+        if path != self.path:
+            from pyarrow import fs
+
+            self.close()
+            system, name = fs.FileSystem.from_uri(path)
+            self.file = system.open_input_file(name)
+            self.path, self.size, self.at, self.held = path, self.file.size(), 0, b""
+
+    def read(self, offset: int, length: int) -> bytes:
+        if not self.at <= offset <= offset + length <= self.at + len(self.held):
+            self.at, self.held = offset, self.file.read_at(min(max(length, READ_AT_ONCE), self.size - offset), offset)
+        return self.held[offset - self.at : offset - self.at + length]
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.path, self.file = None, None
+
+
 def page_number(header: str | None) -> int | None:
     number = (header or "").removeprefix("<" + ID_PREFIX).removesuffix(">")
     return int(number) if number else None
@@ -115,7 +150,7 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     first = materialize(pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-payloads")
-    marked = pages.join(first, "digest", "left")
+    marked = pages.join(F.broadcast(first) if first.count() <= SENT else first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = marked.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.col("payload")).alias("known"))
 
@@ -126,60 +161,95 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
                 made = [record(i, u, p if r is None else k, r) for i, u, p, r, k in zip(*c)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    packed = rows.mapInArrow(pack, "record binary").select(F.col("record").cast("string").alias("value"))
-    packed.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    write_members(rows.mapInArrow(pack, "record binary"), path, RECORDS_PER_FILE)
 
 
-def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """path of each file that Spark wrote below a folder."""
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
-def archive_entries(spark: SparkSession, path: str) -> DataFrame:
-    """key, page_id, path, offset and length of each record, from reading the archives."""
+def files_read(files: DataFrame, of_member, schema: str, arrow_schema: pa.Schema) -> DataFrame:
+    """One row for each gzip member of the files. of_member(path, offset, length, unpacked): its values."""
 
-    def read(batches):
+    def run(batches):
+        ranges = Ranges()
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for path in batch.column(0).to_pylist():
+                ranges.open(path)
                 rows = []
-                for offset, length, raw in members(memoryview(content.as_buffer())):
-                    headers, _ = parse(raw)
-                    page = page_number(headers["WARC-Record-ID"])
-                    target = headers.get("WARC-Target-URI")
-                    rows.append((capture_key(None if target is None else unquote_to_bytes(target).decode(), page), name, offset, length))
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["key", "path", "offset", "length"]).astype({"key": object, "path": object, "offset": "int64", "length": "int64"}), preserve_index=False, schema=pa.schema([("key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+                for offset, length, raw in members(lambda at, n: ranges.read(at, min(n, ranges.size - at)), ranges.size):
+                    rows.append(of_member(path, offset, length, raw))
+                    if len(rows) == 4096:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+        ranges.close()
+
+    return files.mapInArrow(run, schema)
+
+
+def archive_entries(spark: SparkSession, path: str) -> DataFrame:
+    """key, path, offset and length of each record, from reading the archives."""
+
+    def entry(name: str, offset: int, length: int, raw: bytes) -> dict:
+        headers, _ = parse(raw)
+        target = headers.get("WARC-Target-URI")
+        return {"key": capture_key(None if target is None else unquote_to_bytes(target).decode(), page_number(headers["WARC-Record-ID"])), "path": name, "offset": offset, "length": length}
 
-    return archive_files(spark, path).mapInArrow(read, "key string, path string, offset long, length long")
+    types = pa.schema([("key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    return files_read(written_files(spark, path), entry, "key string, path string, offset long, length long", types)
 
 
 def build_index(entries: DataFrame) -> DataFrame:
-    """part, block, first and last key, and the packed lines of each block; written to the shared folder."""
-    entries = materialize(entries, "captures")
-    parts = max(8, -(-entries.count() // KEYS_PER_PART))
+    """The directory: part, first and last key of each block, and the block's file, offset and length; blocks and directory are written to the shared folder."""
+    spark = entries.sparkSession
+    entries = materialize(entries.select(F.translate("key", "\t\n", "  ").alias("key"), "path", "offset", "length"), "captures")
+    parts = min(MOST_PARTS, max(LEAST_PARTS, -(-entries.count() // KEYS_PER_PART)))
 
     def pack(batches):
         from pyspark import TaskContext
 
-        part, block, lines = TaskContext.get().partitionId(), 0, []
-
-        def packed():
-            own = pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([lines[0].split("\t")[0]]), pa.array([lines[-1].split("\t")[0]]), pa.array([zlib.compress("\n".join(lines).encode())], pa.binary())
-            return pa.RecordBatch.from_arrays(list(own), names=["part", "block", "first_key", "last_key", "packed"])
-
+        part, lines = f"{TaskContext.get().partitionId()}\n", []
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([zip_text(part + "\n".join(lines))], pa.binary())], names=["block"])
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 lines.append("\t".join(map(str, row)))
                 if len(lines) == BLOCK_KEYS:
                     yield packed()
-                    block, lines = block + 1, []
+                    lines = []
         if lines:
             yield packed()
 
-    ordered = entries.select(F.translate("key", "\t\n", "  ").alias("key"), "path", "offset", "length").repartitionByRange(parts, "key", "path", "offset").sortWithinPartitions("key", "path", "offset")
-    return materialize(ordered.mapInArrow(pack, "part int, block int, first_key string, last_key string, packed binary"), "capture-blocks")
+    ordered = entries.repartitionByRange(parts, "key", "path", "offset").sortWithinPartitions("key", "path", "offset")
+    path = new_shared_path(spark, "capture-blocks")
+    write_members(ordered.mapInArrow(pack, "block binary"), path, 1 << 20)
+
+    def block(name: str, offset: int, length: int, raw: bytes) -> dict:
+        part, *lines = raw.decode().split("\n")
+        return {"part": int(part), "first_key": lines[0].split("\t")[0], "last_key": lines[-1].split("\t")[0], "path": name, "offset": offset, "length": length}
+
+    types = pa.schema([("part", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    found = files_read(written_files(spark, path), block, "part int, first_key string, last_key string, path string, offset long, length long", types)
+    return materialize(found, "capture-directory")
+
+
+def zip_text(text: str) -> bytes:
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return packer.compress(text.encode()) + packer.flush()
+
+
+def write_members(packed: DataFrame, path: str, per_file: int) -> None:
+    """Write a column of gzip members to files below `path`."""
+    lines = packed.select(F.col(packed.columns[0]).cast("string").alias("value"))
+    lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", per_file).text(path)
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, path, offset and length of every capture of the given keys (one column, each key once)."""
+    """key, path, offset and length of every capture of the given keys (one column, each key once).
+
+    A task gets the directory of some partitions, which MOST_PARTS and BLOCK_KEYS keep small, and then their keys in order.
+    """
     spark = index.sparkSession
     bounds = index.groupBy("part").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).orderBy("low", "high").collect()
     sent = spark.sparkContext.broadcast(([r["low"] for r in bounds], [r["high"] for r in bounds], [r["part"] for r in bounds]))
@@ -189,50 +259,62 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
         low, high, part = sent.value
         return key.map(lambda k: part[bisect_left(high, k) : bisect_right(low, k)])
 
-    placed = keys.select(F.col("key"), F.explode(parts_of("key")).alias("part"))
-
-    def search(wanted: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block")
-        first, last, packed = blocks["first_key"].tolist(), blocks["last_key"].tolist(), blocks["packed"].tolist()
-        opened, out = {}, []
-        for key in wanted["key"]:
-            for b in range(bisect_left(last, key), bisect_right(first, key)):
-                if b not in opened:
-                    lines = [x.split("\t") for x in zlib.decompress(packed[b]).decode().split("\n")]
-                    opened = {b: ([x[0] for x in lines], lines)} if len(opened) > 64 else opened | {b: ([x[0] for x in lines], lines)}
-                names, lines = opened[b]
-                out += [(key, x[1], int(x[2]), int(x[3])) for x in lines[bisect_left(names, key) : bisect_right(names, key)]]
-        return pd.DataFrame(out, columns=["key", "path", "offset", "length"])
-
-    return placed.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(search, "key string, path string, offset long, length long")
-
+    placed = keys.select(F.explode(parts_of("key")).alias("part"), F.lit(1).alias("wanted"), F.col("key").alias("first_key"))
+    blocks = index.select("part", F.lit(0).alias("wanted"), "first_key", "last_key", "path", "offset", "length")
+    both = blocks.unionByName(placed, allowMissingColumns=True).repartition(max(len(bounds), 1), "part").sortWithinPartitions("part", "wanted", "first_key", "path", "offset")
+    types = pa.schema([("key", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
-def read_captures(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:
+    def search(batches):
+        ranges, part, directory, opened = Ranges(), None, ([], [], []), {}
+        for batch in batches:
+            out = []
+            for own, wanted, first, last, path, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
+                if own != part:
+                    part, directory, opened = own, ([], [], []), {}
+                first_keys, last_keys, places = directory
+                if not wanted:
+                    first_keys.append(first)
+                    last_keys.append(last)
+                    places.append((path, offset, length))
+                    continue
+                for b in range(bisect_left(last_keys, first), bisect_right(first_keys, first)):
+                    if b not in opened:
+                        ranges.open(places[b][0])
+                        lines = [x.split("\t") for x in zlib.decompress(ranges.read(*places[b][1:]), 31).decode().split("\n")[1:]]
+                        opened = {b: ([x[0] for x in lines], lines)} if len(opened) > 4 else opened | {b: ([x[0] for x in lines], lines)}
+                    names, lines = opened[b]
+                    out += [{"key": first, "path": x[1], "offset": int(x[2]), "length": int(x[3])} for x in lines[bisect_left(names, first) : bisect_right(names, first)]]
+            yield pa.RecordBatch.from_pylist(out, schema=types)
+        ranges.close()
+
+    return both.mapInArrow(search, "key string, path string, offset long, length long")
+
+
+def read_captures(captures: DataFrame) -> DataFrame:
     """page_id, url, record_type, refers_to, payload (null for revisits), digest and payload length of the captures.
 
-    The ranges of a file come together in one row (a file has RECORDS_PER_FILE records at most) and are cut from it.
+    The ranges of a file come together and in order, and are read from it; a file has RECORDS_PER_FILE records at most.
     """
-    ranges = captures.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))
-    files = archive_files(spark, path).join(materialize(ranges, "ranges"), "path").select("content", "ranges")
+    types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
 
     def cut(batches):
-        names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        ranges = Ranges()
         for batch in batches:
-            for content, ranges in zip(batch.column(0), batch.column(1).to_pylist()):
-                view = memoryview(content.as_buffer())
-                for at in range(0, len(ranges), 256):
-                    rows = []
-                    for r in ranges[at : at + 256]:
-                        headers, payload = parse(zlib.decompress(view[r["offset"] : r["offset"] + r["length"]], 31))
-                        target, own = headers.get("WARC-Target-URI"), headers["WARC-Type"] == "response"
-                        rows.append((
-                            page_number(headers["WARC-Record-ID"]), None if target is None else unquote_to_bytes(target).decode(), headers["WARC-Type"], page_number(headers.get("WARC-Refers-To")),
-                            payload.decode() if own else None, digest_of(payload) if own else headers["WARC-Payload-Digest"].removeprefix("sha1:"), len(payload) if own else int(headers["X-Payload-Length"]),
-                        ))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
-
-    return files.mapInArrow(cut, "page_id long, url string, record_type string, refers_to long, payload string, payload_digest string, payload_bytes long")
+            for at in range(0, batch.num_rows, 128):
+                rows = []
+                for path, offset, length in zip(*[c.to_pylist() for c in batch.slice(at, 128).columns]):
+                    ranges.open(path)
+                    headers, payload = parse(zlib.decompress(ranges.read(offset, length), 31))
+                    target, own = headers.get("WARC-Target-URI"), headers["WARC-Type"] == "response"
+                    rows.append({
+                        "page_id": page_number(headers["WARC-Record-ID"]), "url": None if target is None else unquote_to_bytes(target).decode(), "record_type": headers["WARC-Type"], "refers_to": page_number(headers.get("WARC-Refers-To")),
+                        "payload": payload.decode() if own else None, "payload_digest": digest_of(payload) if own else headers["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": len(payload) if own else int(headers["X-Payload-Length"]),
+                    })
+                yield pa.RecordBatch.from_pylist(rows, schema=types)
+        ranges.close()
+
+    placed = captures.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    return placed.mapInArrow(cut, "page_id long, url string, record_type string, refers_to long, payload string, payload_digest string, payload_bytes long")
 
 
 def capture_keys(df: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -251,4 +333,4 @@ def archive_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     path = new_shared_path(spark, "archives")
     write_archives(df, path, id_col, url_col, payload_col)
     index = build_index(archive_entries(spark, path))
-    return read_captures(spark, path, lookup(index, capture_keys(df, id_col, url_col)))
+    return read_captures(lookup(index, capture_keys(df, id_col, url_col)))
