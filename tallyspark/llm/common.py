@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -18,6 +17,9 @@ SPACES = " \t\n\x0b\x0c\r"
 _SPACE = re.compile(f"[{SPACES}]")
 #: Characters of a long text that are handled at once; bytes of texts that come to a helper at once.
 PIECE, AT_ONCE = 1 << 20, 1 << 22
+#: Random values of bytes, and the factor from one place to the next, of `spelling_hashes`.
+BYTE_VALUES = np.random.default_rng(5).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Groups of a sample up to which their sizes are broadcast.
 MOST_GROUPS = 100_000
 
@@ -152,10 +154,20 @@ def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def spelling_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each text."""
+    """A 64-bit hash of each text: a sum over its bytes, each drawn at random and weighted by its place, then mixed."""
     if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32, count=len(words) + 1, offset=4 * words.offset)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, dtype=np.uint8)
+    begin = np.cumsum(size) - size
+    place = np.arange(len(data)) - np.repeat(begin, size)
+    weights = np.cumprod(np.full(int(size.max()) + 1, BYTE_STEP, dtype=np.uint64))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_VALUES[data] * weights[place], dtype=np.uint64)])
+    h = total[begin + size] - total[begin] + size.astype(np.uint64)
+    for turn in (np.uint64(32), np.uint64(29)):
+        h = (h ^ (h >> turn)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

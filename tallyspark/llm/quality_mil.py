@@ -27,7 +27,7 @@ PASSAGE_WORDS = 64
 #: A score from which a text counts as good; fixed by the contract.
 THRESHOLD = 0.3
 #: Bytes encoded at once in a worker.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def byte_classes() -> np.ndarray:

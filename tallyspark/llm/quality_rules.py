@@ -1,10 +1,11 @@
 """Quality rules: rule statistics of every text, and an isolation forest over them.
 
-The statistics are counted in one pass over the whole texts. A forest of random splits is grown on a bounded sample of
-the statistics; a document that few splits isolate (a short mean path) is anomalous. The sample is of rows labelled
-good, so that a common kind of bad text can't pass for usual (without such labels: of all rows with words). The
-threshold on the anomaly is calibrated on all labelled rows: of those that reject at most `max_false_reject` of the rows
-labelled good, the one with the largest share of bad rows rejected less that of good ones.
+The statistics are counted in one pass over the whole texts. A forest of random splits is grown for each group of
+statistics (`GROUPS`) on a bounded sample of the rows that pass the base rules; a document that few splits isolate (a
+short mean path) is anomalous. One forest over all of them would hide what is odd in one group behind the usual spread
+of the others. The thresholds on the anomalies are calibrated on all labelled rows, one group after the other on the
+rows that those before it keep: of the thresholds that leave the rejected part of the rows labelled good at most
+`max_false_reject` in all, the one with the largest share of bad rows rejected less that of good ones.
 
 Words are runs of anything but space and U+0009 to U+000D. Defined results: a null or empty text has no words and
 fails the base rules; without labels of both kinds the forest rejects nothing; repeated rows are judged each; columns
@@ -120,6 +121,10 @@ def features(p: pd.DataFrame) -> np.ndarray:
     ]).astype(np.float64)
 
 
+#: Columns of `features` that a forest takes together.
+GROUPS = {"symbols": (1,), "marks": (5, 6), "repetition": (2, 3, 7), "form": (0, 4)}
+
+
 class IsolationForest:
     """Random splits stored as arrays; a row's path length is that to its leaf plus the mean for the leaf's size."""
 
@@ -183,37 +188,45 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
 ) -> DataFrame:
-    """id, statistics, anomaly, base_failed and kept of every row.
+    """id, statistics, anomalies (one a group), anomaly (the largest), base_failed and kept of every row.
 
-    labels: id and quality (1 good, 0 bad). sample_rows bounds the rows on which the forest is grown; the threshold is
-    taken over all labelled rows, by counts of their anomaly in steps of 1/2000.
+    labels: id and quality (1 good, 0 bad). sample_rows bounds the rows on which the forests are grown; the thresholds
+    are taken over all labelled rows, by counts of their anomaly in steps of 1/2000.
     """
     counted = materialize(rule_statistics(df.select(id_col, text_col), text_col).drop(text_col), "rule-statistics")
-    marked = materialize(labels.groupBy(F.col(id_col)).agg(F.min("quality").alias("quality")).where("quality is not null"), "rule-labels")
-    good = counted.join(marked.where("quality = 1").select(id_col), id_col, "left_semi")
-    usual = good if good.limit(1).count() else counted.where("n_words > 0")
-    sample = bounded_sample(usual.where(~base_rule(min_words, max_repeat_percent)), id_col, sample_rows).select(id_col, *BASE, *EXTRA).toPandas()
-    sample = sample.sort_values([id_col, *BASE]).reset_index(drop=True)
-    forest = df.sparkSession.sparkContext.broadcast(IsolationForest(features(sample)))
-
-    @F.pandas_udf("double")
-    def anomaly(p: pd.DataFrame) -> pd.Series:
-        return pd.Series(forest.value.anomaly(features(p)))
-
-    scored = counted.withColumn("anomaly", anomaly(F.struct(*BASE, *EXTRA)))
-    scored = scored.withColumn("base_failed", base_rule(min_words, max_repeat_percent))
-    steps = 2000
-    hist = scored.where("not base_failed").join(marked, id_col).groupBy("quality", F.floor(F.col("anomaly") * steps).alias("step")).count().collect()
-    threshold = calibrate([(r["quality"], r["step"], r["count"]) for r in hist], steps, max_false_reject)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(threshold)))
-
-
-def calibrate(counts: list[tuple[int, int, int]], steps: int, max_false_reject: float) -> float:
-    """The threshold that sets bad rows best apart from good ones and rejects at most that part of the good; infinity without labels of both kinds."""
+    usual = counted.where(~base_rule(min_words, max_repeat_percent))
+    sample = features(bounded_sample(usual, id_col, sample_rows).select(id_col, *BASE, *EXTRA).orderBy(id_col).toPandas())
+    forests = df.sparkSession.sparkContext.broadcast([(list(columns), IsolationForest(sample[:, list(columns)])) for columns in GROUPS.values()])
+
+    @F.pandas_udf("array<double>")
+    def anomalies(p: pd.DataFrame) -> pd.Series:
+        x = features(p)
+        return pd.Series(list(np.column_stack([forest.anomaly(x[:, columns]) for columns, forest in forests.value])))
+
+    scored = counted.withColumn("anomalies", anomalies(F.struct(*BASE, *EXTRA))).withColumn("base_failed", base_rule(min_words, max_repeat_percent))
+    scored = materialize(scored, "rule-anomalies")
+    marked = labels.groupBy(F.col(id_col)).agg(F.min("quality").alias("quality")).where("quality is not null")
+    known = materialize(scored.where("not base_failed").join(marked, id_col).select("quality", "anomalies"), "rule-labelled")
+    total = known.where("quality = 1").count()
+    steps, left, kept, lost = 2000, known, F.lit(True), 0
+    for k in range(len(GROUPS)):
+        hist = left.groupBy("quality", F.floor(F.col("anomalies")[k] * steps).alias("step")).count().collect()
+        threshold, more = calibrate([(r["quality"], r["step"], r["count"]) for r in hist], steps, int(max_false_reject * total) - lost)
+        left, kept, lost = left.where(F.col("anomalies")[k] < threshold), kept & (F.col("anomalies")[k] < threshold), lost + more
+    return scored.withColumns({"anomaly": F.array_max("anomalies"), "kept": ~F.col("base_failed") & kept})
+
+
+def calibrate(counts: list[tuple[int, int, int]], steps: int, may_lose: int) -> tuple[float, int]:
+    """The threshold that sets bad rows best apart from good ones, and how many good rows it rejects: `may_lose` at most.
+
+    Infinity without labels of both kinds, and where no threshold rejects a larger share of the bad rows.
+    """
     good, bad = np.zeros(steps + 2), np.zeros(steps + 2)
     for quality, step, n in counts:
         (good if quality == 1 else bad)[min(max(step, 0), steps + 1)] += n
     if not good.sum() or not bad.sum():
-        return math.inf
-    lost, caught = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (good, bad))  # if the threshold is this step's lower edge
-    return int(np.argmax(np.where(lost <= max_false_reject, caught - lost, -1.0))) / steps
+        return math.inf, 0
+    lost, caught = (np.cumsum(x[::-1])[::-1] for x in (good, bad))  # if the threshold is this step's lower edge
+    gain = np.where(lost <= may_lose, caught / bad.sum() - lost / good.sum(), 0.0)
+    best = int(np.argmax(gain))
+    return (best / steps, int(lost[best])) if gain[best] > 0 else (math.inf, 0)
