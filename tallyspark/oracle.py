@@ -139,3 +139,18 @@ ORACLE_SQL = {
       SELECT topic_id, arg_min(title, poll_key) AS topic_label, count(*) AS observation_count, count(DISTINCT source_id || ':' || wk || ':' || coalesce(poll_date, '')) AS poll_count, count(DISTINCT source_id) AS source_count, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources, max(poll_date) AS latest_date, arg_min(title, poll_key) AS sample_questions FROM h GROUP BY 1""",
     "battery_items": f"WITH {_PART} SELECT obs_id, CASE WHEN n = 15 THEN 'Senator Smith ' || p_name ELSE p_name END AS item FROM questions",
 }
+
+#: White space of any kind, as one class of DuckDB's expressions.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_CLEAN = f"trim(regexp_replace(replace(replace(x, 'TOPLINE & METHODOLOGY', ''), 'Annotated Questionnaire', ''), '{_WHITE}', ' ', 'g'), ' ')"
+_PAGE = r"(line SIMILAR TO '[0-9]{1,4}' OR regexp_matches(line, '(?i)^page [0-9]+( of [0-9]+)?$'))"
+_NOISE = "lower(line) IN ('topline & methodology', '2020 k street, nw, suite 410', 'washington dc 20006', '+1 202 463-7300', 'contact:', 'email:', 'annotated questionnaire')"
+_QUESTION = r"(regexp_matches(line, '^[A-Z][A-Za-z0-9_-]{0,24}\. \S|^[0-9]{1,3}[A-Za-z]?\. \S') AND len(list_filter(string_split(line, ' '), lambda w: w <> '')) >= 3)"
+ORACLE_SQL |= {
+    "line_kinds": rf"""WITH raw AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), l AS (SELECT {_CLEAN} AS line FROM raw)
+        SELECT CASE WHEN line = '' THEN 'blank' WHEN {_PAGE} THEN 'page' WHEN line SIMILAR TO '[0-9]+' OR {_NOISE} THEN 'noise' WHEN regexp_matches(line, '\.\s*\.\s*\.') THEN 'contents'
+            WHEN {_QUESTION} THEN 'question' WHEN regexp_matches(line, '^\(?N\s*=\s*([0-9,]+)\)?$') THEN 'size' WHEN regexp_matches(line, '\s(?:[0-9]+%?|\*|-)$') THEN 'row' ELSE 'text' END AS kind, count(*) AS n
+        FROM l GROUP BY ALL""",
+    "document_headers": rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_CLEAN}), lambda line: line <> '' AND NOT {_PAGE}) AS l FROM documents)
+        SELECT doc_id, l[1] AS title, l[2] AS subtitle FROM d WHERE len(l) > 0""",
+}

@@ -272,7 +272,7 @@ def topline_text_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_headers(spark: SparkSession, sf: str) -> DataFrame:
-    return toplines.document_header(toplines.document_lines(views.table(spark, sf, "documents")))
+    return toplines.document_titles(views.table(spark, sf, "documents"))
 
 
 def latest_snapshot_state(spark: SparkSession, sf: str) -> DataFrame:

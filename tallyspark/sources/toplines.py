@@ -6,12 +6,14 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import normalize_text, words
+from ..functions.text import ascii_lower, normalize_text, words
 
-#: Fixed texts of page furniture.
-NOISE = ("www.ipsos.com", "contact:", "public affairs", "copyright")
+#: Fixed lines of page furniture (without regard to ASCII case), and banners that are cut out of lines.
+NOISE = ("TOPLINE & METHODOLOGY", "2020 K Street, NW, Suite 410", "Washington DC 20006", "+1 202 463-7300", "Contact:", "Email:", "Annotated Questionnaire")
+BANNERS = ("TOPLINE & METHODOLOGY", "Annotated Questionnaire")
+RESPONDENTS = "Respondents"
 QUESTION = r"^[A-Z][A-Za-z0-9_-]{0,24}\. \S|^[0-9]{1,3}[A-Za-z]?\. \S"
 CONTENTS = r"\.\s*\.\s*\."
 SIZE = r"\(?N\s*=\s*([0-9,]+)\)?"
@@ -25,8 +27,20 @@ CELLS = "doc_id long, question string, panel int, row_idx int, row_label string,
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, line_no and line, with spacing normalised."""
-    return docs.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "_line")).select(id_col, "line_no", normalize_text(F.col("_line")).alias("line"))
+    """id, line_no and line, without banners and with spacing normalised."""
+    text = F.coalesce(text_col, F.lit(""))
+    return docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("line_no", "_line")).select(id_col, "line_no", clean_line(F.col("_line")).alias("line"))
+
+
+def clean_line(line: Column) -> Column:
+    for banner in BANNERS:
+        line = F.replace(line, F.lit(banner), F.lit(""))
+    return normalize_text(line)
+
+
+def is_noise(line: Column) -> Column:
+    """Blank, digits alone, or a fixed line of page furniture."""
+    return (line == "") | line.rlike("^[0-9]+$") | ascii_lower(line).isin(*[n.lower() for n in NOISE])
 
 
 def is_page_number(line: Column) -> Column:
@@ -39,11 +53,7 @@ def is_question_title(line: Column) -> Column:
 
 
 def line_kind(line: Column) -> Column:
-    low = F.lower(line)
-    noise = F.lit(False)
-    for n in NOISE:
-        noise = noise | low.contains(n)
-    return F.when(line == "", "blank").when(is_page_number(line), "page").when(noise, "noise").when(line.rlike(CONTENTS), "contents").when(is_question_title(line), "question").when(line.rlike(f"^{SIZE}$"), "size").when(line.rlike(r"\s(?:[0-9]+%?|\*|-)$"), "row").otherwise("text")
+    return F.when(line == "", "blank").when(is_page_number(line), "page").when(is_noise(line), "noise").when(line.rlike(CONTENTS), "contents").when(is_question_title(line), "question").when(line.rlike(f"^{SIZE}$"), "size").when(line.rlike(r"\s(?:[0-9]+%?|\*|-)$"), "row").otherwise("text")
 
 
 def _number(token: str) -> float | None:
@@ -62,8 +72,14 @@ def _row(line: str, k: int) -> tuple[str, list[float]] | None:
     return " ".join(tokens[:-k]), values
 
 
+def _without_banners(line: str) -> str:
+    for banner in BANNERS:
+        line = line.replace(banner, "")
+    return line
+
+
 def _kind(line: str) -> str:
-    if not line or re.fullmatch(r"\d{1,4}", line) or any(n in line.lower() for n in NOISE) or re.search(CONTENTS, line):
+    if not line or (line.isascii() and line.isdigit()) or line.lower() in {n.lower() for n in NOISE} or re.search(CONTENTS, line):
         return "skip"
     return "question" if re.match(QUESTION, line) and len(line.split()) >= 3 else "text"
 
@@ -99,6 +115,7 @@ def parse_by_headers(lines: list[str]) -> list[tuple]:
             i += 1
             continue
         labels, at = _column_labels(lines, head)
+        wording = " ".join([question, *(x for x in lines[i + 1 : head] if _kind(x) != "skip")])
         row, pending = 0, []
         while at < len(lines) and labels and _kind(lines[at]) != "question":
             if _kind(lines[at]) == "text":
@@ -106,7 +123,7 @@ def parse_by_headers(lines: list[str]) -> list[tuple]:
                 found = _row(" ".join(pending), len(labels))
                 if found:
                     if found[0] and found[0].lower() != "total":
-                        out += [(question, 0, row, found[0], c, label, None, v) for c, (label, v) in enumerate(zip(labels, found[1]))]
+                        out += [(wording, 0, row, found[0], c, label, RESPONDENTS, v) for c, (label, v) in enumerate(zip(labels, found[1]))]
                         row += 1
                     pending = []
             at += 1
@@ -149,7 +166,7 @@ def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                lines = [" ".join(x.split()) for x in (text or "").split("\n")]
+                lines = [" ".join(_without_banners(x).split()) for x in (text or "").split("\n")]
                 rows += [(doc_id, *r) for r in parse(lines)]
             yield pd.DataFrame(rows, columns=["doc_id", "question", "panel", "row_idx", "row_label", "col_idx", "column_label", "group_title", "value"])
 
@@ -157,11 +174,18 @@ def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
 
 
 def document_header(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, title and subtitle: the first two lines that are neither blank nor page numbers."""
+    """id, title and subtitle from a table of lines: the first two that are neither blank nor page numbers."""
     usable = lines.where((F.col("line") != "") & ~is_page_number(F.col("line")))
-    first = usable.groupBy(id_col).agg(F.min(F.struct("line_no", "line")).alias("_a"))
-    second = usable.join(first, id_col).where(F.col("line_no") > F.col("_a.line_no")).groupBy(id_col).agg(F.min(F.struct("line_no", "line")).alias("_b"))
-    return first.join(second, id_col, "left").select(id_col, F.col("_a.line").alias("title"), F.col("_b.line").alias("subtitle"))
+    place = Window.partitionBy(id_col).orderBy("line_no")
+    first = usable.withColumn("_r", F.row_number().over(place)).where("_r <= 2")
+    return first.groupBy(id_col).agg(F.min_by("line", "line_no").alias("title"), F.max(F.when(F.col("_r") == 2, F.col("line"))).alias("subtitle"))
+
+
+def document_titles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, title and subtitle of whole texts, without a shuffle: the first two lines that are neither blank nor page numbers; documents without any are left out."""
+    lines = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), clean_line)
+    first = F.slice(F.filter(lines, lambda x: (x != "") & ~is_page_number(x)), 1, 2)
+    return docs.select(id_col, first.alias("_first")).where(F.size("_first") > 0).select(id_col, F.col("_first")[0].alias("title"), F.get("_first", F.lit(1)).alias("subtitle"))
 
 
 def prefix_question(date: Column, title: Column, question: Column) -> Column:
