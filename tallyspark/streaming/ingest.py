@@ -19,10 +19,25 @@ def merge_snapshots(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return newest.select("source_id", "article_url", *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def stored_releases(batch: DataFrame, path: str, number: int) -> DataFrame | None:
+    """What other batches stored below `path`; None before the first."""
+    spark = batch.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.schema.fields)}, batch long").parquet(path).where(F.col("batch") != number)
+
+
 def start_ingest(stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
-    """Append each new release below `path`, in a folder per batch that a repeated batch writes over."""
+    """Append each new release below `path`, in a folder per batch that a repeated batch writes over.
+
+    The watermark forgets old releases, so each batch is also compared with what the batches before it stored.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        before = stored_releases(batch, path, number)
+        if before is not None:
+            batch = batch.join(before.select("source_id", "article_url").distinct(), ["source_id", "article_url"], "left_anti").select(batch.columns)
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return new_releases(stream, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
