@@ -154,3 +154,13 @@ ORACLE_SQL |= {
     "document_headers": rf"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_CLEAN}), lambda line: line <> '' AND NOT {_PAGE}) AS l FROM documents)
         SELECT doc_id, l[1] AS title, l[2] AS subtitle FROM d WHERE len(l) > 0""",
 }
+
+#: FNV-1a of an ASCII text in 64 bits, with its fixed values, as 16 hexadecimal digits.
+_FNV = "lower(lpad(to_hex(CAST(list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS UHUGEINT))), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS UBIGINT)), 16, '0'))"
+ORACLE_SQL |= {
+    "text_hashes": f"""WITH {_PART} SELECT obs_id, {_FNV.format("obs_id || '|' || p_name")} AS hash16, right({_FNV.format("p_name")}, 8) AS hash8 FROM questions""",
+    "number_parsing": """WITH l AS (SELECT l_partkey % 5 AS k, CAST(floor(l_quantity) AS DOUBLE) AS whole, l_quantity / 10 AS tenth, CAST(l_linenumber AS DOUBLE) AS percent FROM lineitem),
+        c AS (SELECT *, CASE k WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN whole ELSE 1000 + whole END AS chart FROM l)
+        SELECT chart, coalesce(chart, 0.0) AS topline, percent, 'Right direction' AS label, count(*) AS n, round(CAST(sum(CASE WHEN tenth <= 1.5 THEN tenth * 100 ELSE tenth END) AS DOUBLE), 6) AS scaled, round(sum(percent + whole), 6) AS row_sum
+        FROM c GROUP BY ALL""",
+}
