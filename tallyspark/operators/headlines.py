@@ -29,3 +29,13 @@ def headline_summaries(observations: DataFrame, min_polls: int = 2, samples: int
 def headline_order() -> list[Column]:
     """Latest first, then the most observations; the id decides ties."""
     return [F.col("latest_date").desc_nulls_last(), F.col("observation_count").desc(), F.col("topic_id")]
+
+
+def topic_summary(observations: DataFrame, topic_id: str) -> dict[str, str]:
+    """id, label and status of a topic: that of the catalogue, else that of its first observation; LookupError if it has none."""
+    if topic_id in dict(CATALOG):
+        return {"topic_id": topic_id, "topic_label": dict(CATALOG)[topic_id], "status": "stable"}
+    first = observations.where(F.col("topic_id") == topic_id).agg(F.min_by("topic_label", "obs_ord").alias("label"), F.count("*").alias("n")).first()
+    if not first["n"]:
+        raise LookupError(f"topic not found: {topic_id}")
+    return {"topic_id": topic_id, "topic_label": first["label"], "status": "headline"}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ascii_lower, cutoff_date
 
@@ -76,3 +78,17 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     if out is None:
         raise ValueError("no sources")
     return out
+
+
+def load_sources(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+    """All rows of the sources that can be read (None if none can), and source_id and warning of those that can't.
+
+    A loader fails when it is called: a missing path or table shows as soon as its frame is made.
+    """
+    frames, warnings = {}, []
+    for name, load in loaders.items():
+        try:
+            frames[name] = load()
+        except Exception as failed:  # noqa: BLE001 - whatever a source raises makes it unavailable, not the others
+            warnings.append((name, f"{name} unavailable: {str(failed).splitlines()[0]}"))
+    return (union_sources(frames) if frames else None), spark.createDataFrame(warnings, "source_id string, warning string")

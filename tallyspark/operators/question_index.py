@@ -111,6 +111,11 @@ def classify_by_rules(questions: DataFrame) -> DataFrame:
     return parse_output(asked).withColumn("model", F.lit("rules")).withColumn("review_status", review_status(F.col("exclude_reason"), F.col("confidence")))
 
 
+def first_questions(questions: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` questions in the order of their fingerprints, for a classifier that is asked for so many at most."""
+    return questions.orderBy("question_fingerprint").limit(limit)
+
+
 def upsert(index: DataFrame, records: DataFrame) -> DataFrame:
     """The index with new records in place of those with the same fingerprint, sorted."""
     rest = index.join(records.select("question_fingerprint").distinct(), "question_fingerprint", "left_anti")
@@ -123,11 +128,13 @@ def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as failed:
+        if failed.getCondition() != "PATH_NOT_FOUND":  # else an upsert could write an empty index over a good one
+            raise
         return spark.createDataFrame([], schema)
 
 
 def write_index(index: DataFrame, path: str, buckets: int = 16) -> None:
-    """Write the index in hash buckets of the fingerprint, so that an upsert rewrites only touched ones."""
+    """Write the index in hash buckets of the fingerprint; buckets of which `index` holds no record stay as they are."""
     spread = F.pmod(F.xxhash64("question_fingerprint"), F.lit(buckets)).cast("int")
     index.withColumn("bucket", spread).repartition("bucket").sortWithinPartitions("question_fingerprint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
