@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import base_question, title_prefix
+from ..shared import materialize
 
 
 def options(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,21 +23,39 @@ def _at_column(cells: DataFrame, demographic: str) -> DataFrame:
     return panel.join(wanted, "structure_idx").where("col_idx = _col").drop("_col")
 
 
+def _first_value(cells: DataFrame, demographic: str, *keys: str) -> DataFrame:
+    """keys and value: of each group the first row's value at the demographic's column of the first panel, as in _at_column."""
+    other = ~F.coalesce(F.lower("column_label") == demographic.lower(), F.lit(False))
+    return cells.where("panel_idx = 0").groupBy(*keys).agg(F.min_by("value", F.struct(other.alias("other"), "col_idx", "row_idx")).alias("value"))
+
+
+def numbered(df: DataFrame, group: str, order: str, out: str = "place") -> DataFrame:
+    """df with the place of each row in its group, largest `order` first, from 1.
+
+    Rows are dealt by ranges of (group, order) and written; a row's place is the rows of its group in the ranges before
+    its own, which are few numbers, and its place within its range. So a group with most of the rows is many tasks.
+    """
+    dealt = materialize(df.repartitionByRange(F.col(group), F.col(order).desc()).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(group, "_range").orderBy(F.col(order).desc())
+    placed = dealt.withColumn("_at", F.row_number().over(within))
+    joined = placed.join(starts, placed[group].eqNullSafe(starts["_group"]) & (placed["_range"] == starts["_of"]))
+    return joined.select(*df.columns, (F.col("_start") + F.col("_at")).cast("int").alias(out))
+
+
 def trend_series(cells: DataFrame, question: str, demographic: str) -> DataFrame:
     """place, label and value over time: the first answer row of each structure with the question, oldest first."""
-    match = cells.where(base_question(F.col("title"), F.col("prompt")) == question)
-    chosen = _at_column(match, demographic).groupBy("structure_idx", "title").agg(F.min_by("value", "row_idx").alias("value"))
-    oldest = Window.orderBy(F.col("structure_idx").desc())
-    numbered = chosen.withColumn("place", F.row_number().over(oldest))
-    return numbered.select("place", F.concat(title_prefix(F.col("title")), F.lit(" (Poll "), F.col("place").cast("string"), F.lit(")")).alias("label"), "value")
+    match = cells.where(base_question(F.col("title"), F.col("prompt")) == question).withColumn("question", F.lit(question))
+    placed = numbered(_first_value(match, demographic, "question", "structure_idx", "title"), "question", "structure_idx")
+    return placed.select("place", F.concat(title_prefix(F.col("title")), F.lit(" (Poll "), F.col("place").cast("string"), F.lit(")")).alias("label"), "value")
 
 
 def trend_by_question(cells: DataFrame, demographic: str) -> DataFrame:
     """The same for all questions at once, numbered within each question."""
     named = cells.withColumn("question", base_question(F.col("title"), F.col("prompt")))
-    chosen = _at_column(named, demographic).groupBy("question", "structure_idx").agg(F.min_by("value", "row_idx").alias("value"))
-    oldest = Window.partitionBy("question").orderBy(F.col("structure_idx").desc())
-    return chosen.withColumn("place", F.row_number().over(oldest))
+    return numbered(_first_value(named, demographic, "question", "structure_idx"), "question", "structure_idx")
 
 
 def latest_bars(cells: DataFrame, demographic: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.rules import CATALOG
+from ..functions.rules import CATALOG, catalog_table
 
 
 def headline_summaries(observations: DataFrame, min_polls: int = 2, samples: int = 3) -> DataFrame:
@@ -39,3 +39,11 @@ def topic_summary(observations: DataFrame, topic_id: str) -> dict[str, str]:
     if not first["n"]:
         raise LookupError(f"topic not found: {topic_id}")
     return {"topic_id": topic_id, "topic_label": first["label"], "status": "headline"}
+
+
+def lookup_topics(wanted: DataFrame, observations: DataFrame) -> DataFrame:
+    """topic_id, topic_label and status of many topics at once: of the catalogue ("stable"), else of the first observation ("headline"), else null and "not found"."""
+    first = observations.groupBy("topic_id").agg(F.min_by("topic_label", "obs_ord").alias("_own"), F.lit(True).alias("_seen"))
+    known = wanted.select("topic_id").join(F.broadcast(catalog_table(wanted.sparkSession)), "topic_id", "left").join(first, "topic_id", "left")
+    stable = F.col("catalog_label").isNotNull()
+    return known.select("topic_id", F.coalesce("catalog_label", "_own").alias("topic_label"), F.when(stable, "stable").when(F.col("_seen"), "headline").otherwise("not found").alias("status"))

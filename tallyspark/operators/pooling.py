@@ -75,9 +75,10 @@ def answers_of(cells: DataFrame) -> DataFrame:
     """Answers of each structure and demographic; the first of several columns with one demographic counts.
 
     cells: structure keys, topic_id, panel_idx, col_idx, row_idx, labels and value. One exchange serves the removal of
-    repeated demographics and the roll-up, as both go by structure.
+    repeated demographics and the roll-up, as both go by structure and demographic; cells that lie by structure already
+    are not moved at all.
     """
-    named = with_demographic(cells).repartition(*STRUCTURE)
+    named = with_demographic(cells)
     column = Window.partitionBy(*STRUCTURE, "demographic_id")
     first = named.withColumn("_first", F.min(F.struct("panel_idx", "col_idx")).over(column)).where((F.col("panel_idx") == F.col("_first.panel_idx")) & (F.col("col_idx") == F.col("_first.col_idx"))).drop("_first")
     keys = [*STRUCTURE, "source_id", "topic_id", "demographic_id", "demographic_label", "group_id", "group_label"]

@@ -127,7 +127,7 @@ def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(path).drop("bucket")  # how it is stored is no part of a record
     except AnalysisException as failed:
         if failed.getCondition() != "PATH_NOT_FOUND":  # else an upsert could write an empty index over a good one
             raise

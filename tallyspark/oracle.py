@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.rules import CATALOG
 from .plans.views import ANSWERS, COLUMNS, QUESTIONS, SOURCES
 
 
@@ -164,3 +165,18 @@ ORACLE_SQL |= {
         SELECT chart, coalesce(chart, 0.0) AS topline, percent, 'Right direction' AS label, count(*) AS n, round(CAST(sum(CASE WHEN tenth <= 1.5 THEN tenth * 100 ELSE tenth END) AS DOUBLE), 6) AS scaled, round(sum(percent + whole), 6) AS row_sum
         FROM c GROUP BY ALL""",
 }
+
+_PANELS = f"lines AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS INTEGER) AS v, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY ALL), bare AS (SELECT l_orderkey, max(r) AS r FROM lines GROUP BY 1)"
+_PANEL_COLUMNS = (("Total", None), ("Male", "Sex"), ("Female", "Sex"), ("White", "Race"), ("Black", "Race"), ("Hispanic", "Race"), ("18-29", "Age"), ("30-44", "Age"), ("45-64", "Age"), ("65+", "Age"), ("No degree", "Education"), ("College grad", "Education"))
+ORACLE_SQL |= {
+    "topline_panels": f"""WITH {_PANELS}, k AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_text(c)}, {'NULL' if g is None else _text(g)})" for i, (c, g) in enumerate(_PANEL_COLUMNS))}) AS k(col_idx, column_label, group_title))
+        SELECT '15. Support for the war' AS question, {_pick(ANSWERS, "l_linenumber - 1")} AS row_label, col_idx, column_label, group_title, count(*) AS n, CAST(sum(v + col_idx) AS DOUBLE) AS total
+        FROM lines JOIN bare USING (l_orderkey) CROSS JOIN k WHERE bare.r = 0 GROUP BY ALL""",
+    "topline_fallback": f"""WITH {_PANELS}, t AS (SELECT l_orderkey, string_agg({_pick(ANSWERS, "l_linenumber - 1")} || ' ' || array_to_string(list_transform(range(12), lambda k: CAST(v + k AS VARCHAR) || '%'), ' '), chr(10) ORDER BY l_linenumber) AS body FROM lines GROUP BY 1)
+        SELECT l_orderkey AS doc_id, CASE r WHEN 0 THEN 'Crosstab' ELSE 'Unstructured' END AS type, CASE r WHEN 1 THEN md5('The Poll' || chr(10) || '15. Support for the war' || chr(10) || body || chr(10) || 'Totals 100% 100%' || chr(10)) END AS data_md5 FROM t JOIN bare USING (l_orderkey)""",
+    "source_union": f"WITH {_POLLS} SELECT source_id, source_rank, count(*) AS n_polls, false AS failed FROM polls GROUP BY ALL UNION ALL SELECT 'lost', NULL, 0, true",
+    "topic_lookup": f"""WITH {_POLLS}, c AS (SELECT * FROM (VALUES {", ".join(f"({_text(i)}, {_text(label)})" for i, label in CATALOG)}) AS c(topic_id, label)), seen AS (SELECT 'headline-' || question_no AS topic_id, arg_min(source_id || ' ' || title, poll_key) AS own FROM polls GROUP BY 1)
+        SELECT topic_id, label AS topic_label, 'stable' AS status FROM c UNION ALL
+        SELECT w.topic_id, own, CASE WHEN own IS NULL THEN 'not found' ELSE 'headline' END FROM (SELECT DISTINCT 'headline-' || p_size AS topic_id FROM part) w LEFT JOIN seen ON w.topic_id = seen.topic_id""",
+    "question_index_store": f"""WITH {_PART} SELECT {_FNV.format("obs_id || '|' || p_name")} AS question_fingerprint, {_pick(SOURCES, "p_partkey % 4")} AS source_id, CAST(CASE WHEN p_size > 25 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN p_size > 25 THEN 'new' ELSE 'old' END AS model FROM questions""",
+}

@@ -68,9 +68,10 @@ def cells(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> Dat
     """One row per answer row and column of a crosstab; a structure is an order, an answer row a line number of it.
 
     own: polls, all by default; further columns of it are kept, so that topics can be matched and pruned by poll
-    before the join with the lines.
+    before the join with the lines. Lines lie by order before they are added up, so that the join, the explosion into
+    columns and what goes by structure afterwards need no further shuffle of them.
     """
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
     own = polls(spark, sf_dir) if own is None else own
     kept = [c for c in own.columns if c not in ("poll_key", "article_url")]
     joined = rows.join(own, rows["l_orderkey"] == own["poll_key"])

@@ -110,3 +110,13 @@ def topline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(views.pick(views.ANSWERS, F.col("l_linenumber") - 1), F.lit(" "), F.col("v").cast("int").cast("string"), F.lit("% "), F.when(F.pmod("l_linenumber", F.lit(3)) == 0, "*").otherwise(F.col("l_linenumber").cast("string")))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
     return rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("CP1. In your opinion, is it good?\nTotal\n(N=1,269)\nIndependent/Something\nelse (N=451)\n"), body, F.lit("\nwww.ipsos.com\n12\n")).alias("text"))
+
+
+def panel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per order in the layout with fixed templates: a question, a panel header, a row of twelve percentages per line; where a line is returned the header is missing."""
+    rows = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("v"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("r"))
+    numbers = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.concat((F.col("v") + k).cast("string"), F.lit("%"))), " ")
+    line = F.concat_ws(" ", views.pick(views.ANSWERS, F.col("l_linenumber") - 1), numbers)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
+    head = F.when(F.max("r") == 1, "").otherwise("Sex Race Age Education\n")
+    return rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("The Poll\n15. Support for the war\n"), head, body, F.lit("\nTotals 100% 100%\n")).alias("text"))

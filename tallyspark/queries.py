@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .functions import hashing, questions as q, rules, text as x
 from .operators import builder, cluster, headlines, pooling, polls as p, question_index as qi, terms
 from .plans import views, workloads
-from .shared import new_shared_path
+from .shared import materialize, new_shared_path
 from .sources import charts, pages, sheets, toplines
 from .streaming import ingest
 
@@ -247,10 +247,9 @@ def page_assets(spark: SparkSession, sf: str) -> DataFrame:
 
 def chart_csv_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Line graphs and crosstab cells of CSV texts made of the lines of each order, counted by chart."""
-    cells = charts.csv_cells(workloads.chart_texts(spark, sf))
-    trends = charts.trend_charts(cells)
-    lines = charts.line_graphs(cells, trends).select("chart_id", F.lit("line").alias("kind"), F.size("x").cast("long").alias("n_rows"), r6(F.aggregate(F.flatten(F.transform("series", lambda s: s["values"])), F.lit(0.0), lambda a, b: a + b)).alias("total"))
-    tabs = charts.crosstab_cells(cells, trends).groupBy("chart_id").agg(F.lit("crosstab").alias("kind"), F.count_distinct("row_idx").alias("n_rows"), r6(F.sum("value")).alias("total"))
+    cells = materialize(charts.csv_cells(workloads.chart_texts(spark, sf)), "chart-cells")
+    lines = charts.line_graphs(cells).select("chart_id", F.lit("line").alias("kind"), F.size("x").cast("long").alias("n_rows"), r6(F.aggregate(F.flatten(F.transform("series", lambda s: s["values"])), F.lit(0.0), lambda a, b: a + b)).alias("total"))
+    tabs = charts.crosstab_cells(cells).groupBy("chart_id").agg(F.lit("crosstab").alias("kind"), F.count_distinct("row_idx").alias("n_rows"), r6(F.sum("value")).alias("total"))
     return lines.unionByName(tabs)
 
 
@@ -271,6 +270,46 @@ def topline_text_tables(spark: SparkSession, sf: str) -> DataFrame:
     return toplines.topline_cells(workloads.topline_texts(spark, sf)).select("doc_id", "question", "row_idx", "row_label", "col_idx", "column_label", "value")
 
 
+def topline_panels(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of panels with fixed templates, summed up by answer and column."""
+    cells = toplines.topline_cells(workloads.panel_texts(spark, sf), "templates")
+    return cells.groupBy("question", "row_label", "col_idx", "column_label", "group_title").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
+
+
+def topline_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a table, and those that stay as text, which no table was found in."""
+    docs = materialize(workloads.panel_texts(spark, sf), "panel-texts")
+    kept = toplines.with_fallback(docs, toplines.topline_cells(docs, "templates"))
+    return kept.select("doc_id", "type", F.md5("data").alias("data_md5"))
+
+
+def source_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Polls of all sources by rank, and the source that can't be read as a warning."""
+    every = views.polls(spark, sf)
+    own = lambda name: lambda: every.where(F.col("source_id") == name).drop("source_rank")
+    rows, warnings = p.load_sources(spark, {name: own(name) for name in views.SOURCES} | {"lost": lambda: spark.read.parquet(new_shared_path(spark, "lost"))})
+    counted = rows.groupBy("source_id", "source_rank").agg(F.count("*").alias("n_polls"))
+    return counted.withColumn("failed", F.lit(False)).unionByName(warnings.select("source_id", F.lit(None).cast("int").alias("source_rank"), F.lit(0).cast("long").alias("n_polls"), F.col("warning").startswith("lost unavailable: ").alias("failed")))
+
+
+def topic_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of the catalogue's topics, of topics of the polls, and of topics that nobody has asked about."""
+    seen = views.polls(spark, sf).select(F.concat(F.lit("headline-"), F.col("question_no").cast("string")).alias("topic_id"), F.concat_ws(" ", "source_id", "title").alias("topic_label"), F.col("poll_key").alias("obs_ord"))
+    sizes = views.table(spark, sf, "part").select(F.concat(F.lit("headline-"), F.col("p_size").cast("string")).alias("topic_id"))
+    wanted = rules.catalog_table(spark).select("topic_id").unionByName(sizes.distinct())
+    return headlines.lookup_topics(wanted, seen)
+
+
+def question_index_store(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that is stored, read, updated for the larger parts and stored again."""
+    path, schema = new_shared_path(spark, "index"), "question_fingerprint string, source_id string, confidence double, model string"
+    asked = views.questions(spark, sf).withColumn("question_fingerprint", hashing.hash16(F.concat_ws("|", "obs_id", "p_name")))
+    record = lambda df, confidence, model: df.select("question_fingerprint", "source_id", F.lit(confidence).alias("confidence"), F.lit(model).alias("model"))
+    qi.write_index(record(asked, 0.5, "old"), path)
+    qi.write_index(qi.upsert(qi.read_index(spark, path, schema), record(asked.where("p_size > 25"), 0.9, "new")), path)
+    return qi.read_index(spark, path, schema)
+
+
 def document_headers(spark: SparkSession, sf: str) -> DataFrame:
     return toplines.document_titles(views.table(spark, sf, "documents"))
 
@@ -296,5 +335,5 @@ QUERIES = {f.__name__: f for f in (
     pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
     question_fingerprint, apply_question_index, new_questions, classifier_output, enrichment_batch, similar_question_pairs, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
-    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, document_headers, latest_snapshot_state, incremental_ingest,
+    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, latest_snapshot_state, incremental_ingest,
 )}

@@ -13,24 +13,23 @@ from ..functions.text import chart_number, normalize_text
 
 
 def csv_cells(charts: DataFrame) -> DataFrame:
-    """chart_id, row_idx, col_idx, header and text of the cells of each chart (chart_id, csv text); blank rows are dropped.
+    """chart_id, headers and body (rows of texts as long as the headers) of each chart (chart_id, csv text), one row a chart.
 
-    Charts with fewer than two headers or no row give nothing.
+    Blank rows are dropped. Charts with fewer than two headers or no row give nothing.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for chart_id, text in zip(batch["chart_id"], batch["csv"]):
-                lines = list(csv.reader(io.StringIO(text or "")))
-                clean = [[" ".join(c.split()) for c in line] for line in lines]
-                if not clean or len(clean[0]) < 2:
-                    continue
-                body = [r for r in clean[1:] if any(r)]
-                rows += [(chart_id, i, j, header, r[j] if j < len(r) else "") for i, r in enumerate(body) for j, header in enumerate(clean[0])]
-            yield pd.DataFrame(rows, columns=["chart_id", "row_idx", "col_idx", "header", "text"])
+                lines = [[" ".join(c.split()) for c in line] for line in csv.reader(io.StringIO(text or ""))]
+                body = [line for line in lines[1:] if any(line)]
+                if body and len(lines[0]) >= 2:
+                    k = len(lines[0])
+                    rows.append((chart_id, lines[0], [(line + [""] * k)[:k] for line in body]))
+            yield pd.DataFrame(rows, columns=["chart_id", "headers", "body"])
 
-    return charts.select("chart_id", "csv").mapInPandas(run, "chart_id long, row_idx int, col_idx int, header string, text string")
+    return charts.select("chart_id", "csv").mapInPandas(run, "chart_id long, headers array<string>, body array<array<string>>")
 
 
 def looks_temporal(text: Column) -> Column:
@@ -38,29 +37,43 @@ def looks_temporal(text: Column) -> Column:
     return text.rlike("^[0-9]{4}$") | text.contains("/") | text.contains("-")
 
 
+def first_texts() -> Column:
+    """The first column of a chart's body, without empty texts."""
+    return F.filter(F.transform("body", lambda line: line[0]), lambda text: text != "")
+
+
+def is_trend() -> Column:
+    """Whether the first column is of dates: one at least, and half of those that are not empty."""
+    dates = F.size(F.filter(first_texts(), looks_temporal))
+    return (dates > 0) & (2 * dates >= F.size(first_texts()))
+
+
 def trend_charts(cells: DataFrame) -> DataFrame:
-    """Ids of charts whose first column is of dates: one at least, and half of those that are not empty."""
-    first = cells.where("col_idx = 0 and text <> ''")
-    counted = first.groupBy("chart_id").agg(F.count_if(looks_temporal(F.col("text"))).alias("n"), F.count("*").alias("m"))
-    return counted.where("n > 0 and 2 * n >= m").select("chart_id")
+    """Ids of charts whose first column is of dates."""
+    return cells.where(is_trend()).select("chart_id")
+
 
+def line_graphs(cells: DataFrame, trends: DataFrame | None = None) -> DataFrame:
+    """chart_id, x and series of trend charts; a column without header or number is no series, missing numbers are 0.
 
-def line_graphs(cells: DataFrame, trends: DataFrame) -> DataFrame:
-    """chart_id, x and series of trend charts; a column without header or number is no series, missing numbers are 0."""
-    own = cells.join(trends, "chart_id", "left_semi")
-    x = own.where("col_idx = 0 and text <> ''").groupBy("chart_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "text"))), lambda v: v["text"]).alias("x"))
-    values = own.where("col_idx > 0").withColumn("number", chart_number(F.col("text")))
-    lines = values.groupBy("chart_id", "col_idx", "header").agg(F.count("number").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("row_idx", F.coalesce("number", F.lit(0.0)).alias("v")))), lambda v: v["v"]).alias("values")).where("n > 0 and header <> ''")
-    series = lines.groupBy("chart_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "header", "values"))), lambda s: F.struct(s["header"].alias("label"), s["values"].alias("values"))).alias("series"))
-    return x.join(series, "chart_id")
+    trends: ids of the charts to take, by default those of dates, for which nothing is shuffled.
+    """
+    own = cells.where(is_trend()) if trends is None else cells.join(trends, "chart_id", "left_semi")
+    column = lambda k: F.struct(F.get("headers", k).alias("label"), F.transform("body", lambda line: chart_number(F.get(line, k))).alias("values"))
+    columns = F.transform(F.sequence(F.lit(1), F.size("headers") - 1), column)
+    shown = F.filter(columns, lambda c: (c["label"] != "") & F.exists(c["values"], lambda v: v.isNotNull()))
+    filled = F.transform(shown, lambda c: F.struct(c["label"].alias("label"), F.transform(c["values"], lambda v: F.coalesce(v, F.lit(0.0))).alias("values")))
+    return own.select("chart_id", first_texts().alias("x"), filled.alias("series")).where((F.size("x") > 0) & (F.size("series") > 0))
 
 
-def crosstab_cells(cells: DataFrame, trends: DataFrame, transpose: bool = False) -> DataFrame:
+def crosstab_cells(cells: DataFrame, trends: DataFrame | None = None, transpose: bool = False) -> DataFrame:
     """Cells of the other charts: the first header is the group, the others are columns; rows without label are dropped."""
-    own = cells.join(trends, "chart_id", "left_anti")
-    labels = own.where("col_idx = 0").select("chart_id", "row_idx", F.col("text").alias("row_label"), normalize_text(F.col("header")).alias("group_title")).where("row_label <> ''")
-    values = own.where("col_idx > 0").select("chart_id", "row_idx", (F.col("col_idx") - 1).alias("col_idx"), F.col("header").alias("column_label"), F.coalesce(chart_number(F.col("text")), F.lit(0.0)).alias("value"))
-    out = values.join(labels, ["chart_id", "row_idx"])
+    own = cells.where(~is_trend()) if trends is None else cells.join(trends, "chart_id", "left_anti")
+    lines = own.select("chart_id", normalize_text(F.col("headers")[0]).alias("group_title"), F.slice("headers", 2, F.size("headers")).alias("_h"), F.posexplode("body").alias("row_idx", "_line"))
+    lines = lines.where(F.col("_line")[0] != "")
+    pairs = F.arrays_zip(F.col("_h").alias("label"), F.slice("_line", 2, F.size("_line")).alias("text"))
+    spread = lines.select("chart_id", "row_idx", F.posexplode(pairs).alias("col_idx", "_c"), F.col("_line")[0].alias("row_label"), "group_title")
+    out = spread.select("chart_id", "row_idx", "col_idx", F.col("_c.label").alias("column_label"), F.coalesce(chart_number(F.col("_c.text")), F.lit(0.0)).alias("value"), "row_label", "group_title")
     if not transpose:
         return out
     turned = out.withColumnsRenamed({"row_idx": "_r", "col_idx": "_c", "row_label": "_rl", "column_label": "_cl"})

@@ -40,19 +40,21 @@ def crosstab_cells(cells: DataFrame) -> DataFrame:
     Row 0 names questions where their blocks of columns begin (from column 2), row 1 the answers in pairs of columns
     (option and percent). From row 3 on column 0 names a group, which holds until the next, and column 1 a demographic;
     three empty rows end the sheet. Answers that are totals are dropped, shares become percentages, gaps count as 0.
+    The cells of a sheet are shuffled once, as all steps go by sheet.
     """
-    clean = cells.withColumn("text", _cell_text(F.col("text")))
-    names = clean.where("row = 0 and col >= 2 and text is not null").select(*SHEET, F.col("col").alias("start"), strip_selected_choice(F.col("text")).alias("question"))
-    width = clean.groupBy(*SHEET).agg((F.max("col") + 1).alias("width"))
-    order = Window.partitionBy(*SHEET).orderBy("start")
-    blocks = names.join(width, list(SHEET)).withColumn("end", F.coalesce(F.lead("start").over(order), F.col("width")) - 1)
-    answers = clean.where("row = 1 and col >= 2 and text is not null and lower(text) not like '%total%'").select(*SHEET, F.col("col").alias("acol"), F.col("text").alias("answer"))
-    options = answers.join(blocks, list(SHEET)).where("acol between start and end")
-    left = clean.where("row >= 3 and col in (0, 1)").groupBy(*SHEET, "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("group"), F.max(F.when(F.col("col") == 1, F.col("text"))).alias("demographic")).where("group is not null or demographic is not null")
-    rows = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.coalesce(F.col("row") - F.lag("row").over(Window.partitionBy(*SHEET).orderBy("row")), F.col("row") - 2) > 3
-    held = left.withColumns({"group_title": F.coalesce(F.last("group", ignorenulls=True).over(rows), F.lit("Overall")), "_gap": gap}).withColumn("_ended", F.max("_gap").over(rows)).where("not _ended and demographic is not null")
-    grid = held.select(*SHEET, "row", "group_title", "demographic").join(options, list(SHEET))
-    values = clean.select(*SHEET, "row", (F.col("col") - 1).alias("acol"), scale_percent(F.col("number")).alias("_value"))
-    joined = grid.join(values, [*SHEET, "row", "acol"], "left")
-    return joined.select(*SHEET, "question", "start", "answer", "acol", "row", "group_title", "demographic", F.coalesce("_value", F.lit(0.0)).alias("value"))
+    clean = cells.repartition(*SHEET).withColumn("text", _cell_text(F.col("text")))
+    by_row = clean.groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(F.struct("col", "text", "number"))).alias("cells"))
+    whole, so_far = Window.partitionBy(*SHEET), Window.partitionBy(*SHEET).orderBy("row")
+    named = lambda k: F.first(F.when(F.col("row") == k, F.filter("cells", lambda c: (c["col"] >= 2) & c["text"].isNotNull())), ignorenulls=True).over(whole)
+    text_at = lambda k: F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == k), lambda c: c["text"]))
+    left = by_row.withColumns({"_blocks": named(0), "_answers": named(1), "group": text_at(0), "demographic": text_at(1)})
+    left = left.where("row >= 3 and (group is not null or demographic is not null)")
+    gap = F.coalesce(F.col("row") - F.lag("row").over(so_far), F.col("row") - 2) > 3
+    held = left.withColumns({"group_title": F.coalesce(F.last("group", ignorenulls=True).over(so_far), F.lit("Overall")), "_ended": gap})
+    held = held.withColumn("_ended", F.max("_ended").over(so_far)).where("not _ended and demographic is not null")
+    options = held.select(*SHEET, "row", "group_title", "demographic", "cells", "_blocks", F.explode(F.filter("_answers", lambda a: ~F.lower(a["text"]).contains("total"))).alias("_a"))
+    # an answer belongs to the last block that begins at its column or before
+    block = F.try_element_at(F.filter("_blocks", lambda b: b["col"] <= F.col("_a.col")), F.lit(-1))
+    number = F.get(F.filter("cells", lambda c: c["col"] == F.col("_a.col") + 1), F.lit(0))["number"]
+    placed = options.withColumn("_b", block).where("_b is not null")
+    return placed.select(*SHEET, strip_selected_choice(F.col("_b.text")).alias("question"), F.col("_b.col").alias("start"), F.col("_a.text").alias("answer"), F.col("_a.col").alias("acol"), "row", "group_title", "demographic", F.coalesce(scale_percent(number), F.lit(0.0)).alias("value"))

@@ -199,3 +199,33 @@ def test_ingest_merges(spark):
 @pytest.mark.parametrize("name", ["question_cleaning", "number_parsing", "text_hashes", "classifier_output", "page_links", "line_kinds", "document_headers", "headline_workload", "enrichment_batch"])
 def test_queries_without_sql_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_places_of_a_hot_group_equal_brute_force(spark):
+    from tallyspark.operators import builder
+
+    rows = [("hot" if i % 4 else None if i % 8 else "cold", i, f"v{i}") for i in range(3000)]
+    got = builder.numbered(spark.createDataFrame(rows, "g string, k long, v string").repartition(7), "g", "k").collect()
+    groups = {g: sorted((k for h, k, _ in rows if h == g), reverse=True) for g in {r[0] for r in rows}}
+    assert len(got) == 3000 and all(r["place"] == groups[r["g"]].index(r["k"]) + 1 and r["v"] == f"v{r['k']}" for r in got)
+    assert builder.numbered(spark.createDataFrame([], "g string, k long"), "g", "k").count() == 0
+
+
+def test_trend_series_of_one_question(spark):
+    from tallyspark.operators import builder
+
+    cells = [(s, 0, f"2026: Poll {s}", "Approve?", row, col, label, 10.0 * s + 3 * row + col) for s in range(5) for row in (1, 0) for col, label in enumerate(("Total", "Male" if s % 2 else None))]
+    df = spark.createDataFrame(cells, "structure_idx long, panel_idx int, title string, prompt string, row_idx int, col_idx int, column_label string, value double")
+    got = builder.trend_series(df, "Approve?", "male").orderBy("place").collect()
+    assert [(r["label"], r["value"]) for r in got] == [(f"2026 (Poll {n})", 10.0 * s + s % 2) for n, s in enumerate((4, 3, 2, 1, 0), start=1)]
+
+
+def test_charts_by_their_own_look(spark):
+    df = spark.createDataFrame([(1, "Group,A,,B\n\nAll,1,2,n/a\n,5,6,7\nSome,4\n"), (2, "Year,A,,B\n2024,1,2,\n,3%,4,-\n2025,1\n"), (3, "Year,A\n")], "chart_id long, csv string")
+    cells = charts.csv_cells(df)
+    (line,) = charts.line_graphs(cells).collect()
+    assert (line["chart_id"], line["x"], [(s["label"], s["values"]) for s in line["series"]]) == (2, ["2024", "2025"], [("A", [1.0, 3.0, 1.0])])
+    tab = charts.crosstab_cells(cells).collect()
+    assert sorted((r["chart_id"], r["row_idx"], r["col_idx"], r["column_label"], r["row_label"], r["value"]) for r in tab) == [(1, 0, 0, "A", "All", 1.0), (1, 0, 1, "", "All", 2.0), (1, 0, 2, "B", "All", 0.0), (1, 2, 0, "A", "Some", 4.0), (1, 2, 1, "", "Some", 0.0), (1, 2, 2, "B", "Some", 0.0)]
+    turned = charts.crosstab_cells(cells, transpose=True).where("column_label = 'Some'").collect()
+    assert {(r["row_label"], r["col_idx"]) for r in turned} == {("A", 2), ("", 2), ("B", 2)}
