@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.rules import CATALOG
+from .functions.rules import CATALOG, ROLLUP
 from .plans.views import ANSWERS, COLUMNS, QUESTIONS, SOURCES
 
 
@@ -180,3 +180,19 @@ ORACLE_SQL |= {
         SELECT w.topic_id, own, CASE WHEN own IS NULL THEN 'not found' ELSE 'headline' END FROM (SELECT DISTINCT 'headline-' || p_size AS topic_id FROM part) w LEFT JOIN seen ON w.topic_id = seen.topic_id""",
     "question_index_store": f"""WITH {_PART} SELECT {_FNV.format("obs_id || '|' || p_name")} AS question_fingerprint, {_pick(SOURCES, "p_partkey % 4")} AS source_id, CAST(CASE WHEN p_size > 25 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN p_size > 25 THEN 'new' ELSE 'old' END AS model FROM questions""",
 }
+_SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+_INDEX = f"""seen AS (SELECT *, p_name || '|' || p_type AS f, CASE WHEN p_size <= 30 THEN 'headline-candidate-' || p_partkey ELSE 'generic-ballot' END AS own FROM part),
+  records AS (SELECT p_name || '|' || p_type AS f, p_name, p_type, min(p_partkey) % 4 AS k FROM part WHERE p_type <> 'ECONOMY' GROUP BY 2, 3),
+  usable AS (SELECT f, CASE k WHEN 0 THEN 'headline-' || {_SLUG.format("p_name")} WHEN 1 THEN 'headline-' || {_SLUG.format("p_name")} || '-ai' WHEN 2 THEN 'generic-ballot' ELSE 'headline-us-' || {_SLUG.format("p_type")} END AS topic,
+    CASE k WHEN 1 THEN p_name || ' AI' END AS label FROM records WHERE p_type <> 'PROMO' AND NOT starts_with(p_name, 'large')),
+  shown AS (SELECT f, topic, coalesce(label, array_to_string(list_transform(string_split(regexp_replace(topic, '^headline-', ''), '-'), lambda w: CASE WHEN w IN ('ai', 'us', 'uk') THEN upper(w) ELSE upper(w[1]) || w[2:] END), ' ')) AS label FROM usable)"""
+ORACLE_SQL |= {
+    "index_application": f"""WITH {_INDEX}, j AS (SELECT s.*, topic, label, topic IS NOT NULL AND starts_with(own, 'headline-candidate-') AS applied FROM seen s LEFT JOIN shown USING (f))
+        SELECT p_partkey AS obs_ord, CASE WHEN applied THEN topic ELSE own END AS topic_id, CASE WHEN applied THEN label ELSE p_name END AS topic_label, CASE WHEN applied THEN {_text(ROLLUP)} ELSE 'own' END AS compatibility, applied FROM j""",
+    "index_new_questions": f"""WITH {_INDEX} SELECT f AS question_fingerprint, min(p_partkey) AS obs_ord, arg_min(p_name, p_partkey) AS title FROM seen WHERE starts_with(own, 'headline-candidate-') AND f NOT IN (SELECT f FROM records) GROUP BY 1""",
+    "classifier_output": """WITH l AS (SELECT *, doc_id % 13 = 0 AS bad, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 3 <> 0 THEN 'topic ' || doc_id WHEN doc_id % 2 = 1 THEN 'headline-the-label' ELSE '' END AS topic FROM labels),
+          x AS (SELECT *, CASE WHEN toxic = 1 AND NOT bad THEN 'toxic' WHEN topic = '' THEN 'model returned no canonical topic id' END AS why, CAST(CASE WHEN bad THEN 0 WHEN quality = 1 THEN 0.84 ELSE 0.5 END AS DOUBLE) AS sure FROM l)
+        SELECT doc_id, topic AS canonical_topic_id, CASE WHEN bad OR doc_id % 2 = 0 THEN '' ELSE 'The Label' END AS canonical_label, sure AS confidence, CASE WHEN bad THEN '' ELSE 'iran|military-action' END AS subjects, why AS exclude_reason, bad AS rejected,
+          CASE WHEN why IS NOT NULL THEN 'excluded' WHEN sure < 0.55 THEN 'needs-review' ELSE 'accepted' END AS review_status
+        FROM x""",
+}

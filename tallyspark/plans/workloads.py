@@ -120,3 +120,20 @@ def panel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
     head = F.when(F.max("r") == 1, "").otherwise("Sex Race Age Education\n")
     return rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("The Poll\n15. Support for the war\n"), head, body, F.lit("\nTotals 100% 100%\n")).alias("text"))
+
+
+def named_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Observations with a part's name and type as fingerprint, and an index of all fingerprints but those of one type, with records of every kind."""
+    part = views.table(spark, sf_dir, "part")
+    key = F.concat_ws("|", "p_name", "p_type")
+    seen = part.select(
+        key.alias("question_fingerprint"), F.col("p_partkey").alias("obs_ord"), F.col("p_name").alias("title"), F.col("p_name").alias("topic_label"), F.lit("own").alias("compatibility"),
+        F.when(F.col("p_size") <= 30, F.concat(F.lit("headline-candidate-"), F.col("p_partkey").cast("string"))).otherwise("generic-ballot").alias("topic_id"),
+    )
+    first = part.where("p_type <> 'ECONOMY'").groupBy("p_name", "p_type").agg(F.pmod(F.min("p_partkey"), F.lit(4)).alias("k"))
+    given = views.pick(("/api/v1/topics/", "", "generic-ballot", " headline-us-"), F.col("k"))
+    index = first.select(
+        key.alias("question_fingerprint"), F.concat(given, F.when(F.col("k") == 0, F.col("p_name")).when(F.col("k") == 3, F.concat("p_type", F.lit(" "))).otherwise("")).alias("canonical_topic_id"), F.when(F.col("k") == 1, F.concat("p_name", F.lit(" AI"))).otherwise("").alias("canonical_label"),
+        F.when(F.col("p_type") == "PROMO", 0.5).otherwise(0.9).alias("confidence"), F.when(F.col("p_name").startswith("large"), "off topic").alias("exclude_reason"),
+    )
+    return seen, index

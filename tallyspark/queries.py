@@ -310,6 +310,16 @@ def question_index_store(spark: SparkSession, sf: str) -> DataFrame:
     return qi.read_index(spark, path, schema)
 
 
+def index_application(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of an index over parts' names applied to the candidates among the observations."""
+    return qi.apply_index(*workloads.named_parts(spark, sf)).select("obs_ord", "topic_id", "topic_label", "compatibility", "applied")
+
+
+def index_new_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates without a record in that index, each fingerprint once."""
+    return qi.new_questions(*workloads.named_parts(spark, sf)).select("question_fingerprint", "obs_ord", "title")
+
+
 def document_headers(spark: SparkSession, sf: str) -> DataFrame:
     return toplines.document_titles(views.table(spark, sf, "documents"))
 
@@ -335,5 +345,5 @@ QUERIES = {f.__name__: f for f in (
     pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
     question_fingerprint, apply_question_index, new_questions, classifier_output, enrichment_batch, similar_question_pairs, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
-    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, latest_snapshot_state, incremental_ingest,
+    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest,
 )}
