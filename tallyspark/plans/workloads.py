@@ -101,7 +101,7 @@ def crosstab_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.when(F.pmod("l_linenumber", F.lit(2)) == 1, F.concat(F.lit("Group "), ((F.col("l_linenumber") + 1) / 2).cast("int").cast("string")))
     body = rows.select("l_orderkey", F.explode(F.array(_cell(at, 0, group), _cell(at, 1, F.concat(F.lit("Demo "), F.col("l_linenumber").cast("string"))), _cell(at, 3, None, F.col("v") / 100), _cell(at, 5, None, F.col("v")))).alias("c"))
     head = rows.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(_cell(0, 2, F.lit("Do you approve? - Selected Choice")), _cell(1, 2, F.lit("Approve")), _cell(1, 4, F.lit("Disapprove")), _cell(1, 6, F.lit("Total")), _cell(3, 0, F.lit("Group 1")))).alias("c"))
-    return head.unionByName(body).groupBy("l_orderkey", "c.row", "c.col").agg(F.max("c.text").alias("text"), F.max("c.number").alias("number")).select(F.col("l_orderkey").alias("workbook"), F.lit("s").alias("sheet"), "row", "col", "text", "number")
+    return head.unionByName(body).groupBy("l_orderkey", "c.row", "c.col").agg(F.max("c.text").alias("text"), F.max("c.number").alias("number")).select(F.col("l_orderkey").alias("workbook"), F.concat(F.lit("s"), F.pmod("l_orderkey", F.lit(3)).cast("string")).alias("sheet"), "row", "col", "text", "number")
 
 
 def topline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
