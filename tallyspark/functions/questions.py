@@ -15,9 +15,9 @@ LEADING_CODE = r"(?i)^(?:[a-z][a-z0-9_-]{0,24}|[0-9]{1,3}[a-z]?)\.\s+"
 DATED_PREFIX = r"(?i)^[0-9]{4}-[0-9]{2}-[0-9]{2}:\s+[^:]{3,240}:\s+(.+)$"
 SURVEY_PREFIX = r"(?i)^[a-z]+ [0-9]{1,2}\s*-\s*[0-9]{1,2},\s*[0-9]{4}\s*-\s*[0-9,]+\s+u\.s\. adult citizens:\s+(.+)$"
 TOKEN = "[a-z][a-z0-9]+"
-#: Headings under which a list of items is asked about.
+#: Headings under which a list of items is asked about.
 BATTERY_HEADINGS = ("approval on issues", "favorability of", "following issues", "following things", "these public figures", "towards these public figures", "where you live")
-#: Words of polling that say nothing about a subject; Spark ML's English list is added to them.
+#: Words of polling that say nothing about a subject; Spark ML's English list is added to them.
 POLLING_STOPWORDS = tuple(
     "adult adults action american americans answer approve asked believe candidate citizen citizens country current direction disapprove doing dont election feel following generally heading important increase increasingly ipsos issue issues "
     "january february march april may june july august september october november december latest less more most overall oppose opposed ballot held primary vote voted poll polling polls question right reuter reuters respond respondent respondents "
