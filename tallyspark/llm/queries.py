@@ -8,6 +8,8 @@ from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .decontaminate import contaminated_pairs
 from .language import predict_held_out
+from .lexical_search import search
+from .ngram_join import similarity_join
 from .pii import BASE_KINDS, find_personal_data, span_text
 from .quality_mil import classify_quality
 from .quality_rules import quality_rules
@@ -78,6 +80,14 @@ def op10_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality_attention": op2_quality_attention,
@@ -89,11 +99,15 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_ppm": op10_language_ppm,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 #: SHA-1 in base32: five bits at a time, of five hexadecimal digits for four letters.
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '')"
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 #: DuckDB SQL for the rows of a query, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": f"""
@@ -102,4 +116,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM d""",
+    "op11_lexical_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+        own AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+        total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM own),
+        tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM own) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+        asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        parts AS (SELECT term, doc_id, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)) AS part FROM tf, total),
+        scored AS (SELECT item_id, doc_id, sum(w * part)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 20""",
+    "op13_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, {_AZ}), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        sets AS (SELECT doc_id, list_distinct(CASE WHEN coalesce(len(words), 0) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+            ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingles FROM w),
+        sized AS (SELECT doc_id, shingles, len(shingles)::BIGINT AS n FROM sets),
+        each AS (SELECT doc_id, n, unnest(shingles) AS shingle FROM sized),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS c FROM each a JOIN each b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM common WHERE 100 * c >= 90 * (n + m - c)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+        SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sized USING (doc_id) GROUP BY doc_id""",
 }
