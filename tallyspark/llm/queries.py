@@ -11,6 +11,7 @@ from .language import predict_held_out
 from .lexical_search import search
 from .ngram_join import similarity_join
 from .pii import BASE_KINDS, find_personal_data, span_text
+from .prefix_trie import numbered_turns, prefix_trie, rebuilt_turns
 from .quality_mil import classify_quality
 from .quality_rules import quality_rules
 from .sharding import shard_records
@@ -84,6 +85,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt_turns(numbered_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_language_ppm": op10_language_ppm,
     "op11_lexical_search": op11_lexical_search,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_ngram_join": op13_ngram_join,
 }
 
@@ -107,6 +113,8 @@ QUERIES = {
 _BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)), '')"
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: CRC-32 of a decimal id: for each digit, eight steps of a shift and a conditional XOR.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda c, d: list_reduce(list_prepend(xor(c, d), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, step: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
 
 #: DuckDB SQL for the rows of a query, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
@@ -127,6 +135,24 @@ ORACLE_SQL: dict[str, str] = {
         scored AS (SELECT item_id, doc_id, sum(w * part)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL),
         ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
         SELECT * FROM ranked WHERE rank <= 20""",
+    "op12_prefix_trie": rf"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {_CRC32} & 3 AS h, count(*) AS size FROM t GROUP BY conv_id),
+        given AS (SELECT c.conv_id, d.place, d.role, d.text FROM c JOIN t d ON d.conv_id = c.conv_id - c.conv_id % 20 AND d.place < c.h),
+        k AS (SELECT c.conv_id, c.h, count(given.place) AS k FROM c LEFT JOIN given USING (conv_id) GROUP BY ALL),
+        rebuilt AS (SELECT * FROM given UNION ALL SELECT conv_id, place - h + k, role, text FROM t JOIN k USING (conv_id) WHERE place >= h),
+        paths AS (SELECT conv_id, place + 1 AS depth, list([role, text]) OVER (PARTITION BY conv_id ORDER BY place) AS path, text FROM rebuilt
+            UNION ALL SELECT conv_id, 0, []::VARCHAR[][], '' FROM c),
+        ends AS (SELECT conv_id, max(depth) AS depth, max_by(path, depth) AS path FROM paths GROUP BY conv_id),
+        ended AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha FROM ends GROUP BY path),
+        nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words FROM paths GROUP BY path, depth),
+        kids AS (SELECT path[1:depth - 1] AS path, count(*) AS children FROM nodes WHERE depth > 0 GROUP BY 1),
+        counted AS (SELECT nodes.*, coalesce(children, 0) AS children FROM nodes LEFT JOIN kids USING (path)),
+        below AS (SELECT path[1:k] AS path, count_if(children = 0) AS leaves, sum((n - 1) * words) AS saved
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM counted) GROUP BY 1)
+        SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, v.children AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+        FROM counted v JOIN below USING (path) LEFT JOIN ended USING (path) LEFT JOIN nodes p ON v.depth > 0 AND p.path = v.path[1:v.depth - 1]""",
     "op13_ngram_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, {_AZ}), '[^\x20\x09-\x0D]+') AS words FROM documents),
         sets AS (SELECT doc_id, list_distinct(CASE WHEN coalesce(len(words), 0) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
