@@ -176,15 +176,15 @@ def test_url_keys():
 
 
 def test_pipeline_against_its_parts(spark, sf_dir):
-    """The stages one by one in plain Python, but for the trained classifier's scores."""
+    """The stages one by one in plain Python, but for the trained classifier's scores; near copies by all pairs."""
     import corpus_pipeline
+    from tests.llm.test_similar import brute_survivors
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality(spark, docs, sf_dir).collect()}
-    ids = sorted(kept)
-    groups = brute_components(ids, [simhash.fingerprint(kept[i]) % 2**64 for i in ids])
+    survivors = brute_survivors(sorted(kept.items()))
     items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    expected = {i for i, g in zip(ids, groups) if i == g and not any(t in kept[i] for t in items)}
+    expected = {i for i in survivors if not any(t in kept[i] for t in items)}
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in rows} == expected and all(r["round_trip"] for r in rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "personal_data", "encode"]
