@@ -11,13 +11,16 @@ character of the same length; then each pattern is a plain run of characters. Sp
 
 Defined results: a null or empty text has no spans; repeated rows are searched each; spans of different kinds may
 overlap, those of one kind don't; the column named like the output column is replaced, others stay; an empty table gives an empty table. A very long
-text is one value, and a few copies of it are held.
+text is one value, of which a few copies are held: it is cut at all matches at once, positions are running sums over
+runs of `RUN` spans, context comes from the gaps between matches, and `redact` cuts runs of spans out of runs of runs.
+So time grows about as the text and the number of its spans.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import bind
 from .common import fresh_name
 
 #: Private characters that stand for joining separators and dots, and one that stands for these if a text holds them.
@@ -48,7 +51,9 @@ IBAN_LENGTHS = {
 #: Score of a confirmed span without context; a context word adds CONTEXT_BONUS.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.5, "ssn": 0.4}
 CONTEXT_BONUS, CONTEXT_CHARS, MIN_SCORE = 0.35, 40, 0.6
-SPAN = "array<struct<start:int,end:int,match:string>>"
+SPAN = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+#: Spans that are summed up or cut as one run.
+RUN = 64
 
 
 def luhn(digits: Column) -> Column:
@@ -65,19 +70,57 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step) == 1
 
 
+def runs_of(values: Column, size: int) -> Column:
+    """The array in runs of `size` values."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(values, at, F.lit(size)))
+
+
+def running(values: Column, add, zero: int = 0) -> Column:
+    """For each value what `add` makes of all before it, in two levels of runs, so that no long array is copied again and again."""
+
+    def within(own: Column, before: Column) -> Column:
+        start = F.struct(before.alias("so_far"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(own, start, lambda done, v: F.struct(add(done["so_far"], v).alias("so_far"), F.concat(done["out"], F.array(done["so_far"])).alias("out")))["out"]
+
+    def by_runs(runs: Column) -> Column:
+        totals = F.transform(runs, lambda r: F.aggregate(r, F.lit(zero), add))
+        return bind(within(totals, F.lit(zero)), lambda before: F.flatten(F.transform(runs, lambda r, i: within(r, F.get(before, i)))))
+
+    return bind(values, lambda v: bind(runs_of(v, 4 * RUN), by_runs))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
-    """start, end and text of each match, leftmost first: gaps between matches and matches add up to positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    sized = F.zip_with(gaps, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("match")))
+    """start, end and text of each match, leftmost first, and CONTEXT_CHARS + 1 characters before and after it.
 
-    def add(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["match"].alias("match"))
-        return F.struct((start + x["size"]).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    Gaps between matches and matches add up to positions. A match and the gap at its side have six characters at least
+    but for emails (five), so that those of nine matches hold all context.
+    """
+    reach = CONTEXT_CHARS + 1  # one more, so that a cut word is not taken for a whole one
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(sized, begin, add)["spans"]
+    def sized(x: Column) -> Column:
+        both = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["found"])), x["found"], lambda gap, m: F.length(gap) + F.length(m))
+        heads, tails = F.transform(x["gaps"], lambda g: F.left(g, F.lit(reach))), F.transform(x["gaps"], lambda g: F.right(g, F.lit(reach)))
+        return F.struct(x["found"].alias("found"), F.transform(x["gaps"], F.length).alias("lengths"), heads.alias("heads"), tails.alias("tails"), running(both, lambda a, b: a + b).alias("before"))
+
+    def near(x: Column) -> Column:
+        count = F.size(x["found"])
+        left = F.zip_with(F.slice(x["tails"], F.lit(1), count), x["found"], lambda gap, m: F.concat(gap, m))
+        right = F.zip_with(x["found"], F.slice(x["heads"], F.lit(2), count), lambda m, gap: F.concat(m, gap))
+        return F.struct(*[x[c].alias(c) for c in ("found", "lengths", "heads", "tails", "before")], left.alias("left"), right.alias("right"))
+
+    def spans(x: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            start = F.get(x["before"], i) + F.get(x["lengths"], i)
+            first = F.greatest(i - 8, F.lit(1))
+            before = F.concat(F.array_join(F.slice(x["left"], first, F.greatest(i + 1 - first, F.lit(0))), ""), F.get(x["tails"], i))
+            after = F.concat(F.get(x["heads"], i + 1), F.array_join(F.slice(x["right"], i + 2, F.lit(9)), ""))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"), F.right(before, F.lit(reach)).alias("before"), F.left(after, F.lit(reach)).alias("after"))
+
+        return F.transform(x["found"], span)
+
+    return bind(bind(bind(parts, sized), near), spans)
 
 
 def confirmed(kind: str, match: Column) -> Column:
@@ -95,13 +138,11 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _judged(kind: str, rank: int, text: Column, proposed: Column) -> Column:
+def _judged(kind: str, rank: int, proposed: Column) -> Column:
     """Confirmed spans of one kind with their scores; those of added kinds only with a high one."""
 
     def judge(x: Column) -> Column:
-        first = F.greatest(x["start"] - CONTEXT_CHARS - 1, F.lit(0))  # one more, so that a cut word is not taken for a whole one
-        before, after = F.substring(text, first + 1, x["start"] - first), F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS + 1))
-        near = F.lower(F.concat(before, F.lit("\n"), after)).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{CONTEXT[kind]})(?![\p{{L}}\p{{N}}])")
+        near = F.lower(F.concat(x["before"], F.lit("\n"), x["after"])).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{CONTEXT[kind]})(?![\p{{L}}\p{{N}}])")
         score = F.lit(BASE_SCORE[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
         if kind == "iban":
             number = F.replace(x["match"], F.lit(" "), F.lit(""))
@@ -133,7 +174,7 @@ def find_personal_data(df: DataFrame, text_col: str = "text", out: str = "pii_sp
         "ssn": F.when(text.rlike("[0-9]-[0-9]{2}-[0-9]{4}"), spans_of(clean_text, SSN)),
     }
     marked = df.withColumn(clean_name, clean).withColumns({names[k]: F.coalesce(v, none) for k, v in proposed.items()})
-    scored = [_judged(kind, rank, clean_text, F.col(names[kind])) for rank, kind in enumerate(KINDS)]
+    scored = [_judged(kind, rank, F.col(names[kind])) for rank, kind in enumerate(KINDS)]
     any_found = F.greatest(*[F.size(names[k]) for k in KINDS]) > 0
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
     found = marked.withColumn(out, F.when(any_found, F.array_sort(F.concat(*scored))).otherwise(empty))
@@ -146,13 +187,32 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first names them all."""
-
-    def step(done: Column, x: Column) -> Column:
-        more = F.concat(done["out"], F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        apart = x["start"] >= done["at"]
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(apart, more).otherwise(done["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, begin, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first names them all.
+
+    spans are in order of their starts. Runs of RUN * RUN spans, and then of RUN, are cut out first, so that a span is
+    not searched for from the begin of a long text.
+    """
+    kept = bind(
+        F.struct(spans.alias("spans"), running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)).alias("ends")),
+        lambda x: F.filter(F.transform(x["spans"], lambda s, i: F.struct(F.get(x["ends"], i).alias("from"), s["start"].alias("start"), F.upper(s["kind"]).alias("kind"))), lambda s: s["start"] >= s["from"]),
+    )
+
+    def whole(part: Column, base: Column, own: Column) -> Column:
+        """Each span with the text before it; `part` begins at position `base` of the text."""
+        return F.array_join(F.transform(own, lambda s: F.concat(F.substring(part, s["from"] - base + 1, s["start"] - s["from"]), F.lit("["), s["kind"], F.lit("]"))), "")
+
+    def by_runs(size: int, inner):
+        def cut(part: Column, base: Column, own: Column) -> Column:
+            def of_run(run: Column) -> Column:
+                first, last = F.get(run, F.lit(0)), F.element_at(run, -1)
+                piece = F.substring(part, first["from"] - base + 1, last["start"] - first["from"])
+                return bind(F.struct(piece.alias("text"), first["from"].alias("base"), run.alias("own")), lambda x: inner(x["text"], x["base"], x["own"]))
+
+            return F.array_join(F.transform(runs_of(own, size), of_run), "")
+
+        return cut
+
+    three_levels = by_runs(RUN * RUN, by_runs(RUN, whole))
+    end = F.array_max(F.transform(spans, lambda x: x["end"]))
+    put = bind(F.struct(text.alias("text"), kept.alias("own")), lambda x: three_levels(x["text"], F.lit(0), x["own"]))
+    return F.when(F.size(spans) > 0, F.concat(put, F.substring(text, end + 1, F.length(text)))).otherwise(text)
