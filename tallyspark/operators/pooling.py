@@ -8,20 +8,39 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import answer_of, demographic_of, structure_text, topic_match
 from ..functions.text import normalize_text
+from ..shared import materialize
 
 STRUCTURE = ("source_rank", "structure_idx")
+#: Distinct values up to which the results of a rule table are sent to all tasks.
+MOST_VALUES = 100_000
+
+
+def on_distinct(df: DataFrame, keys: Sequence[str], rule: Column, out: str, most: int = MOST_VALUES) -> DataFrame:
+    """Add a rule table's result, evaluated once for each distinct combination of the columns that it looks at.
+
+    Labels and titles repeat in all polls, while a rule table is a long condition. The results of up to `most`
+    combinations are joined back by a broadcast; where there are more, the rule is evaluated row by row, which needs no
+    shuffle either. The keys may be null. df is read twice: cells should be a written table.
+    """
+    values = materialize(df.select(*keys).distinct(), "rule-keys")
+    if values.count() > most:
+        return df.withColumn(out, rule)
+    found = values.withColumn(out, rule).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [df[k].eqNullSafe(found[f"_of_{k}"]) for k in keys]
+    return df.join(F.broadcast(found), same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def with_topic(df: DataFrame) -> DataFrame:
     """Add topic_id and compatibility of the title and prompt; null where no rule matches."""
     hit = topic_match(F.col("source_id"), structure_text(F.col("title"), F.col("prompt")))
-    return df.withColumn("_topic", hit).withColumns({"topic_id": F.col("_topic.topic_id"), "compatibility": F.col("_topic.compatibility")}).drop("_topic")
+    matched = on_distinct(df, ("source_id", "title", "prompt"), hit, "_topic")
+    return matched.withColumns({"topic_id": F.col("_topic.topic_id"), "compatibility": F.col("_topic.compatibility")}).drop("_topic")
 
 
 def with_demographic(df: DataFrame) -> DataFrame:
     """Add demographic_id, demographic_label, group_id and group_label of a column label and its group."""
-    named = demographic_of(F.col("column_label"), F.col("group_title"))
-    return df.withColumn("_demo", named).select("*", F.col("_demo.id").alias("demographic_id"), F.col("_demo.label").alias("demographic_label"), "_demo.group_id", "_demo.group_label").drop("_demo")
+    named = on_distinct(df, ("column_label", "group_title"), demographic_of(F.col("column_label"), F.col("group_title")), "_demo")
+    return named.select("*", F.col("_demo.id").alias("demographic_id"), F.col("_demo.label").alias("demographic_label"), "_demo.group_id", "_demo.group_label").drop("_demo")
 
 
 def first_group(columns: Column, groups: Column) -> Column:
@@ -59,7 +78,12 @@ def roll_up(cells: DataFrame, keys: Sequence[str], topic_col: str = "topic_id")
     Components of an answer (priority 1) are added up; a row of higher priority, such as a net row, replaces them, the
     first one if there are several.
     """
-    mapped = cells.withColumn("_a", answer_of(F.col(topic_col), F.col("row_label"))).select("*", F.col("_a.id").alias("answer_id"), F.col("_a.label").alias("_label"), F.col("_a.priority").alias("_p")).drop("_a")
+    return _summed(on_distinct(cells, (topic_col, "row_label"), answer_of(F.col(topic_col), F.col("row_label")), "_a"), keys)
+
+
+def _summed(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Roll-up of cells whose answer is known (_a)."""
+    mapped = cells.select("*", F.col("_a.id").alias("answer_id"), F.col("_a.label").alias("_label"), F.col("_a.priority").alias("_p")).drop("_a")
     summed = mapped.groupBy(*keys, "answer_id").agg(
         F.max("_p").alias("_top"),
         F.expr("sum(value) filter (where _p = 1)").alias("_sum"),
@@ -78,11 +102,11 @@ def answers_of(cells: DataFrame) -> DataFrame:
     repeated demographics and the roll-up, as both go by structure and demographic; cells that lie by structure already
     are not moved at all.
     """
-    named = with_demographic(cells)
+    named = on_distinct(with_demographic(cells), ("topic_id", "row_label"), answer_of(F.col("topic_id"), F.col("row_label")), "_a")
     column = Window.partitionBy(*STRUCTURE, "demographic_id")
     first = named.withColumn("_first", F.min(F.struct("panel_idx", "col_idx")).over(column)).where((F.col("panel_idx") == F.col("_first.panel_idx")) & (F.col("col_idx") == F.col("_first.col_idx"))).drop("_first")
     keys = [*STRUCTURE, "source_id", "topic_id", "demographic_id", "demographic_label", "group_id", "group_label"]
-    return roll_up(first, keys)
+    return _summed(first, keys)
 
 
 def pool(answers: DataFrame, by: Sequence[str] = ("topic_id",)) -> DataFrame:

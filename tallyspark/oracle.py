@@ -196,3 +196,14 @@ ORACLE_SQL |= {
           CASE WHEN why IS NOT NULL THEN 'excluded' WHEN sure < 0.55 THEN 'needs-review' ELSE 'accepted' END AS review_status
         FROM x""",
 }
+#: Words too general to join two wordings, as far as the parts have them.
+_WEAK = "['approval', 'price', 'policy']"
+ORACLE_SQL["similar_parts"] = f"""
+    WITH p AS (SELECT p_partkey, p_brand, list_sort(list_distinct(list_concat(string_split(lower(p_name || ' ' || p_type), ' '), ['size' || p_size, CASE p_partkey % 3 WHEN 0 THEN 'approval' WHEN 1 THEN 'price' ELSE 'policy' END]))) AS f FROM part),
+      n AS (SELECT p_brand, f, min(p_partkey) AS node, array_to_string(f, ' ') AS signature, list_filter(f, lambda w: NOT list_contains({_WEAK}, w)) AS s FROM p GROUP BY p_brand, f),
+      j AS (SELECT a.node AS "left", b.node AS "right", a.s AS a, b.s AS b, len(list_intersect(a.f, b.f)) AS shared, len(a.f) AS na, len(b.f) AS nb, jaro_winkler_similarity(a.signature, b.signature) AS fuzzy
+        FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.node < b.node WHERE len(list_intersect(a.s, b.s)) > 0),
+      k AS (SELECT *, shared / (na + nb - shared) AS jaccard, shared / least(na, nb) AS containment FROM j
+        WHERE NOT (list_sort(a) <> list_sort(b) AND least(len(a), len(b)) <= 2 AND len(list_intersect(a, b)) = least(len(a), len(b)))),
+      x AS (SELECT *, CASE WHEN shared >= 2 AND (jaccard >= 0.25 OR containment >= 0.5 OR fuzzy >= 0.86) THEN greatest(jaccard, 0.8 * containment, 0.65 * fuzzy) WHEN shared = 1 AND fuzzy >= 0.92 THEN 0.55 * fuzzy END AS score FROM k)
+    SELECT "left", "right", round(score + 3e-7, 3) AS score FROM x WHERE score IS NOT NULL"""

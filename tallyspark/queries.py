@@ -19,8 +19,8 @@ def r6(c: Column | str) -> Column:
 
 
 def topic_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of polls that a topic rule matches; topics are matched once a poll."""
-    return views.cells(spark, sf, pooling.with_topic(views.polls(spark, sf)).where("topic_id is not null"))
+    """Cells of polls that a topic rule matches, as a written table; topics are matched once a wording."""
+    return materialize(views.cells(spark, sf, pooling.with_topic(views.polls(spark, sf)).where("topic_id is not null")), "topic-cells")
 
 
 def pooled_topic_by_demographic(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,6 +193,11 @@ def similar_question_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.similar_pairs(workloads.feature_nodes(spark, sf)).select("left", "right", F.round("score", 4).alias("score"))
 
 
+def similar_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores between the word sets of parts, by the same filters; moved a little, as the last digits of ties in rounding differ."""
+    return cluster.similar_pairs(workloads.part_nodes(spark, sf)).select("left", "right", F.round(F.col("score").cast("double") + 3e-7, 3).alias("score"))
+
+
 def question_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return workloads.clustered(workloads.observations(spark, sf)).select("obs_ord", "cluster", "topic_id", "topic_label")
 
@@ -344,6 +349,6 @@ def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
-    question_fingerprint, apply_question_index, new_questions, classifier_output, enrichment_batch, similar_question_pairs, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
+    question_fingerprint, apply_question_index, new_questions, classifier_output, enrichment_batch, similar_question_pairs, similar_parts, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
     builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest,
 )}

@@ -180,6 +180,39 @@ def test_clusters_equal_the_direct_pass(spark, seed):
     assert len({r["topic_id"] for r in got}) == len({r["cluster"] for r in got})
 
 
+@pytest.mark.parametrize("block", [3, 2000])
+def test_prefix_filters_lose_no_pair(spark, block):
+    """All pairs with a score, by brute force: sets with a hot feature, general words, and spellings that are nearly alike."""
+    rng = random.Random(block)
+    words = [f"{a}{b}{c}" for a in ("tariff", "school", "vaccin", "senat") for b in ("", "s", "al") for c in ("", "z")]
+    rows, seen = [], set()
+    for i in range(260):
+        features = sorted({*(["trump"] if rng.random() < 0.6 else []), *rng.sample(list(cluster.WEAK[:6]), rng.randrange(3)), *rng.sample(words, rng.randint(1, 4))})
+        intent = rng.choice([None, "approval"])
+        if len(features) > 1 and (intent, *features) not in seen:
+            seen.add((intent, *features))
+            rows.append((i, intent, features))
+    expected = {(a[0], b[0]): round(float(s), 5) for k, a in enumerate(rows) for b in rows[k + 1 :] if (s := pair_score(a, b)) is not None}
+    nodes = spark.createDataFrame([(i, intent, f, " ".join(f)) for i, intent, f in rows], "node long, intent string, features array<string>, signature string")
+    got = {(r["left"], r["right"]): round(r["score"], 5) for r in cluster.similar_pairs(nodes, block=block).collect()}
+    assert got == expected
+    assert {p for p, s in expected.items() if s >= 0.45} == {(r["left"], r["right"]) for r in cluster.similar_pairs(nodes, 0.45, block).collect()}
+    # far fewer candidates than pairs of one hot feature and intent, each once
+    met = cluster.candidate_pairs(nodes, block).select("node_l", "node_r").collect()
+    hot = [sum("trump" in f and i == intent for _, i, f in rows) for intent in (None, "approval")]
+    assert len(met) == len(set(met)) and expected.keys() <= {tuple(r) for r in met} and sum(n * (n - 1) // 2 for n in hot) > 4000
+
+
+def test_no_tile_of_a_hot_feature_is_large(spark):
+    """3000 wordings with one feature and little else in common: few pairs are scored, and no task gets a block of them."""
+    rows = [(i, "x", sorted(["hot", f"own{i}", f"other{i % 50}"]), f"{i} hot") for i in range(3000)]
+    nodes = spark.createDataFrame(rows, "node long, intent string, features array<string>, signature string")
+    assert cluster.candidate_pairs(nodes).where("size(array_intersect(features_l, features_r)) >= 2").count() == 50 * 60 * 59 // 2
+    keyed = nodes.select("node", F.lit("k").alias("key"))
+    tiles = cluster.meetings(keyed, ["key"], 500).groupBy("l.i", "l.j").count().collect()
+    assert sum(r["count"] for r in tiles) == 3000 * 2999 // 2 and max(r["count"] for r in tiles) < 2 * 500 * 500 and len(tiles) >= 30
+
+
 def test_jaro_winkler():
     assert round(cluster.jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(cluster.jaro_winkler("dixon", "dicksonx"), 4) == 0.8133 and cluster.jaro_winkler("", "a") == 0.0
 

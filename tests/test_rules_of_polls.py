@@ -44,3 +44,18 @@ def test_labels_count_terms_of_clusters(spark):
     most = cluster.MAX_LABEL_TERMS
     assert got[9] == ([], "|") and got[1][1] == "a-b-c-d-e-z|x"
     assert got[1][0] == ["La", "Lc", "Lc", "Ld", "Le", "La"][:most]
+
+
+def test_rules_on_distinct_values(spark):
+    """The same rows as row by row, with nulls and clashing names, by a broadcast or inline."""
+    from tallyspark.functions.rules import answer_of, demographic_of
+    from tallyspark.operators import pooling
+
+    rows = [(i, t, a, c, g) for i, (t, a) in enumerate([("generic-ballot", "Democrat"), ("economy-approval", "Approve (Net)"), (None, "Approve"), ("x", None), (None, None)] * 40) for c, g in ((None, None), ("Dem", "Party"), ("Voters", " Registration "), ("Total", None))]
+    df = spark.createDataFrame(rows, "_id int, topic_id string, row_label string, column_label string, group_title string").repartition(3)
+    for keys, rule in ((("topic_id", "row_label"), answer_of(F.col("topic_id"), F.col("row_label"))), (("column_label", "group_title"), demographic_of(F.col("column_label"), F.col("group_title")))):
+        expected = sorted(map(str, df.withColumn("_a", rule).collect()))
+        for most in (0, 100):
+            assert sorted(map(str, pooling.on_distinct(df, keys, rule, "_a", most).select(*df.columns, "_a").collect())) == expected
+    plan = pooling.on_distinct(df, ("topic_id", "row_label"), F.upper("row_label"), "_a")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
