@@ -125,6 +125,25 @@ def pool(answers: DataFrame, by: Sequence[str] = ("topic_id",)) -> DataFrame:
     return named.select(*by, "demographic_id", "_d.demographic_label", "_d.group_id", "_d.group_label", "answer_id", "id", "value", "observation_count")
 
 
+def pool_state(answers: DataFrame, by: Sequence[str] = ("topic_id",)) -> DataFrame:
+    """What pooling needs of answers, one row a group and answer: sum, count, and labels of the first observation."""
+    order = F.struct(*STRUCTURE)
+    first = F.min(F.struct(order.alias("o"), F.struct("answer_label", "demographic_label", "group_id", "group_label").alias("d"))).alias("first")
+    return answers.groupBy(*by, "demographic_id", "answer_id").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.count("value").alias("n_values"), first)
+
+
+def merge_pool_states(old: DataFrame, new: DataFrame, by: Sequence[str] = ("topic_id",)) -> DataFrame:
+    """The state of both sets of answers, which have no observation in common."""
+    return old.unionByName(new).groupBy(*by, "demographic_id", "answer_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.min("first").alias("first"))
+
+
+def pooled_of_state(state: DataFrame, by: Sequence[str] = ("topic_id",)) -> DataFrame:
+    """The rows of pool() from a state: means and counts; a demographic is named as its first observation names it."""
+    own = state.withColumn("_d", F.min("first").over(Window.partitionBy(*by, "demographic_id"))["d"])
+    named = [F.col(f"_d.{c}").alias(c) for c in ("demographic_label", "group_id", "group_label")]
+    return own.select(*by, "demographic_id", *named, "answer_id", F.col("first.d.answer_label").alias("id"), (F.col("total") / F.when(F.col("n_values") > 0, F.col("n_values"))).alias("value"), F.col("n").alias("observation_count"))
+
+
 def pooled_order() -> list[Column]:
     """Total first, then demographics and answers by id."""
     return [F.expr("demographic_id <> 'total'"), F.col("demographic_id"), F.col("id")]

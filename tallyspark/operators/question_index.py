@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import hash16
 from ..functions.questions import fingerprint_text, question_key
+from .keyed_store import Version, merge_into_store
 from ..functions.rules import CATALOG, ROLLUP, intent_of, structure_text, topic_match
 from ..functions.text import label_from_topic_id, search_text, slug_id, trim_space
 from ..shared import materialize
@@ -138,3 +139,14 @@ def write_index(index: DataFrame, path: str, buckets: int = 16) -> None:
     """Write the index in hash buckets of the fingerprint; buckets of which `index` holds no record stay as they are."""
     spread = F.pmod(F.xxhash64("question_fingerprint"), F.lit(buckets)).cast("int")
     index.withColumn("bucket", spread).repartition("bucket").sortWithinPartitions("question_fingerprint").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_stored(path: str, records: DataFrame, buckets: int = 16) -> Version:
+    """Put records into the index of a keyed store: only buckets of their fingerprints are read and written.
+
+    Of records with one fingerprint the one that sorts first stays. Writers at the same time follow each other.
+    """
+    key = ["question_fingerprint"]
+    rest = [c for c in records.columns if c not in key]
+    once = records.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*").select(records.columns)
+    return merge_into_store(path, once, key, lambda old, new: new.unionByName(old.join(new.select(*key), key, "left_anti").select(new.columns)), buckets)

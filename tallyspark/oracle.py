@@ -207,3 +207,6 @@ ORACLE_SQL["similar_parts"] = f"""
         WHERE NOT (list_sort(a) <> list_sort(b) AND least(len(a), len(b)) <= 2 AND len(list_intersect(a, b)) = least(len(a), len(b)))),
       x AS (SELECT *, CASE WHEN shared >= 2 AND (jaccard >= 0.25 OR containment >= 0.5 OR fuzzy >= 0.86) THEN greatest(jaccard, 0.8 * containment, 0.65 * fuzzy) WHEN shared = 1 AND fuzzy >= 0.92 THEN 0.55 * fuzzy END AS score FROM k)
     SELECT "left", "right", round(score + 3e-7, 3) AS score FROM x WHERE score IS NOT NULL"""
+ORACLE_SQL["snapshot_ingest"] = f"SELECT {_pick(SOURCES, 'user_id % 4')} AS source_id, 'u' || user_id || '-' || event_type AS article_url, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1, 2"
+ORACLE_SQL["pooled_incrementally"] = ORACLE_SQL["pooled_all_topics"]
+ORACLE_SQL["question_index_upserts"] = f"""SELECT {_FNV.format("p_name")} AS question_fingerprint, p_name AS title, CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'small') THEN 'small' ELSE 'first' END AS model FROM (SELECT DISTINCT p_name FROM part)"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import hashing, questions as q, rules, text as x
 from .operators import builder, cluster, headlines, pooling, polls as p, question_index as qi, terms
+from .operators.keyed_store import merge_into_store, read_store, read_version
 from .plans import views, workloads
 from .shared import materialize, new_shared_path
 from .sources import charts, pages, sheets, toplines
@@ -346,9 +347,43 @@ def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data").groupBy("source_id").agg(F.count("*").alias("n_releases"), F.count_distinct("article_url").alias("n_urls"))
 
 
+def snapshot_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as releases that come in four batches, late and again; the newest row of each source and URL."""
+    path = new_shared_path(spark, "snapshots")
+    events = views.table(spark, sf, "events").select(views.pick(views.SOURCES, F.pmod("user_id", F.lit(4))).alias("source_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("article_url"), F.col("ts").cast("timestamp").alias("seen_at"), "event_id")
+    for k in (2, 0, 3, 1):
+        again = F.pmod("event_id", F.lit(4)) == k
+        events.where(again | (F.pmod("event_id", F.lit(40)) == 0)).write.parquet(f"{path}/in/part={k}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in/part=*")
+        ingest.start_snapshots(stream, f"{path}/store", f"{path}/state", 16).awaitTermination()
+    return read_store(spark, f"{path}/store", events.schema).select("source_id", "article_url", "event_id")
+
+
+def pooled_incrementally(spark: SparkSession, sf: str) -> DataFrame:
+    """All topics pooled from a stored state, into which the polls come in three parts."""
+    answers = pooling.topic_answers(topic_cells(spark, sf))
+    path, keys = new_shared_path(spark, "pooled"), ["topic_id", "demographic_id", "answer_id"]
+    answers = materialize(answers.withColumn("part", F.pmod("structure_idx", F.lit(3))), "answers")
+    for k in (1, 0, 2):
+        state = pooling.pool_state(answers.where(F.col("part") == k))
+        merge_into_store(path, state, keys, pooling.merge_pool_states, 16)
+    return pooling.pooled_of_state(read_store(spark, path, state.schema)).withColumn("value", r6("value"))
+
+
+def question_index_upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of all parts' names in a keyed store, with later records of single names put in."""
+    path = new_shared_path(spark, "keyed-index")
+    asked = views.questions(spark, sf).withColumn("question_fingerprint", hashing.hash16(F.col("p_name")))
+    record = lambda df, model: df.groupBy("question_fingerprint").agg(F.min("p_name").alias("title"), F.lit(model).alias("model"))
+    qi.upsert_stored(path, record(asked, "first"))
+    for word in ("small", "ring"):
+        last = qi.upsert_stored(path, record(asked.where(F.col("p_name").contains(word)), word))
+    return read_version(spark, path, record(asked, "").schema, last)
+
+
 QUERIES = {f.__name__: f for f in (
     pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
     question_fingerprint, apply_question_index, new_questions, classifier_output, enrichment_batch, similar_question_pairs, similar_parts, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
-    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest,
+    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
 )}
