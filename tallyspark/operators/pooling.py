@@ -15,14 +15,15 @@ STRUCTURE = ("source_rank", "structure_idx")
 MOST_VALUES = 100_000
 
 
-def on_distinct(df: DataFrame, keys: Sequence[str], rule: Column, out: str, most: int = MOST_VALUES) -> DataFrame:
+def on_distinct(df: DataFrame, keys: Sequence[str], rule: Column, out: str, most: int = MOST_VALUES, values: DataFrame | None = None) -> DataFrame:
     """Add a rule table's result, evaluated once for each distinct combination of the columns that it looks at.
 
     Labels and titles repeat in all polls, while a rule table is a long condition. The results of up to `most`
     combinations are joined back by a broadcast; where there are more, the rule is evaluated row by row, which needs no
-    shuffle either. The keys may be null. df is read twice: cells should be a written table.
+    shuffle either. The keys may be null. df is read once more for its combinations, but for those in `values`, a
+    written table of its rows' keys.
     """
-    values = materialize(df.select(*keys).distinct(), "rule-keys")
+    values = materialize(df.select(*keys).distinct(), "rule-keys") if values is None else values.select(*keys).distinct()
     if values.count() > most:
         return df.withColumn(out, rule)
     found = values.withColumn(out, rule).withColumnsRenamed({k: f"_of_{k}" for k in keys})
@@ -37,9 +38,9 @@ def with_topic(df: DataFrame) -> DataFrame:
     return matched.withColumns({"topic_id": F.col("_topic.topic_id"), "compatibility": F.col("_topic.compatibility")}).drop("_topic")
 
 
-def with_demographic(df: DataFrame) -> DataFrame:
+def with_demographic(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Add demographic_id, demographic_label, group_id and group_label of a column label and its group."""
-    named = on_distinct(df, ("column_label", "group_title"), demographic_of(F.col("column_label"), F.col("group_title")), "_demo")
+    named = on_distinct(df, ("column_label", "group_title"), demographic_of(F.col("column_label"), F.col("group_title")), "_demo", values=values)
     return named.select("*", F.col("_demo.id").alias("demographic_id"), F.col("_demo.label").alias("demographic_label"), "_demo.group_id", "_demo.group_label").drop("_demo")
 
 
@@ -102,7 +103,8 @@ def answers_of(cells: DataFrame) -> DataFrame:
     repeated demographics and the roll-up, as both go by structure and demographic; cells that lie by structure already
     are not moved at all.
     """
-    named = on_distinct(with_demographic(cells), ("topic_id", "row_label"), answer_of(F.col("topic_id"), F.col("row_label")), "_a")
+    values = materialize(cells.select("topic_id", "row_label", "column_label", "group_title").distinct(), "rule-keys")
+    named = on_distinct(with_demographic(cells, values), ("topic_id", "row_label"), answer_of(F.col("topic_id"), F.col("row_label")), "_a", values=values)
     column = Window.partitionBy(*STRUCTURE, "demographic_id")
     first = named.withColumn("_first", F.min(F.struct("panel_idx", "col_idx")).over(column)).where((F.col("panel_idx") == F.col("_first.panel_idx")) & (F.col("col_idx") == F.col("_first.col_idx"))).drop("_first")
     keys = [*STRUCTURE, "source_id", "topic_id", "demographic_id", "demographic_label", "group_id", "group_label"]

@@ -20,8 +20,8 @@ def r6(c: Column | str) -> Column:
 
 
 def topic_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of polls that a topic rule matches, as a written table; topics are matched once a wording."""
-    return materialize(views.cells(spark, sf, pooling.with_topic(views.polls(spark, sf)).where("topic_id is not null")), "topic-cells")
+    """Cells of polls that a topic rule matches; topics are matched once a wording."""
+    return views.cells(spark, sf, pooling.with_topic(views.polls(spark, sf)).where("topic_id is not null"))
 
 
 def pooled_topic_by_demographic(spark: SparkSession, sf: str) -> DataFrame:
