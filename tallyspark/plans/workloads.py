@@ -8,6 +8,7 @@ from ..functions.rules import ROLLUP
 from ..functions.text import iso_date_text
 from ..operators import cluster, headlines, pooling, question_index, terms
 from ..shared import materialize
+from ..sources.toplines import TEMPLATES
 from . import views
 
 
@@ -131,6 +132,24 @@ def panel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("The Poll\n15. Support for the war\n"), head, body, F.lit("\nTotals 100% 100%\n")).alias("text"))
 
 
+def paged_panel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per order in the layout with fixed templates, as pages come out: a contents line, a question with a prompt of two lines, both panels with page
+    furniture in and between them and a label of two lines, a title without a panel, and a question of one panel whose first line is the order's number."""
+    rows = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("v"))
+    percents = lambda n: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat((F.col("v") + k).cast("string"), F.lit("%"))), " ")
+    label = views.pick(views.ANSWERS, F.col("l_linenumber") - 1)
+    body = lambda line: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
+    first, cut, second = F.concat_ws(" ", label, percents(12)), F.concat(F.lit("Other or\n7\n"), label, F.lit(" "), percents(12)), F.concat_ws(" ", label, percents(11))
+    page = "\n\n4\nThe Economist/YouGov Poll\nApril 1 - 4, 2026 - 1,500 U.S. Adult Citizens\n"
+    columns = [" ".join(t[1]) for t in TEMPLATES]
+    text = F.concat(
+        F.lit("The Economist/YouGov Poll\n15. Support for the war . . . . 3\n15. Support for the war\nDo you support or oppose\n3\nthe war of order "), F.col("l_orderkey").cast("string"), F.lit(f"?\n{TEMPLATES[0][0]}\n{columns[0]}\n"),
+        body(first), F.lit(f"\nTotals 100% 100%\nUnweighted N (1,500) (700)\n{page}{TEMPLATES[1][0]}\n{columns[1]}\n"), body(second), F.lit(page), F.lit("16. A title without a panel\nand its text\nThe Economist/YouGov Poll\n17A. Trust\n"),
+        F.col("l_orderkey").cast("string"), F.lit(f"\n{TEMPLATES[0][0]}\n"), body(cut), F.lit("\nTotals 100% 100%\n"),
+    )
+    return rows.groupBy("l_orderkey").agg(text.alias("text")).select(F.col("l_orderkey").alias("doc_id"), "text")
+
+
 def named_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Observations with a part's name and type as fingerprint, and an index of all fingerprints but those of one type, with records of every kind."""
     part = views.table(spark, sf_dir, "part")

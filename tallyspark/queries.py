@@ -282,6 +282,12 @@ def topline_panels(spark: SparkSession, sf: str) -> DataFrame:
     return cells.groupBy("question", "row_label", "col_idx", "column_label", "group_title").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
+def topline_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions, prompts and panels of documents with page breaks, with the sum of each answer's cells."""
+    cells = toplines.topline_cells(workloads.paged_panel_texts(spark, sf), "templates")
+    return cells.groupBy("doc_id", "question", "prompt", "panel", "row_idx", "row_label").agg(F.count("*").alias("n"), F.min_by("group_title", F.struct((-F.col("col_idx")).alias("c"))).alias("last_group"), r6(F.sum("value")).alias("total"))
+
+
 def topline_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a table, and those that stay as text, which no table was found in."""
     docs = materialize(workloads.panel_texts(spark, sf), "panel-texts")
@@ -385,5 +391,5 @@ QUERIES = {f.__name__: f for f in (
     pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
     question_fingerprint, apply_question_index, new_questions, classifier_output, enrichment_batch, similar_question_pairs, similar_parts, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
-    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
+    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_pages, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
 )}

@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import chart_number, normalize_text
 
@@ -18,6 +18,8 @@ def csv_cells(charts: DataFrame) -> DataFrame:
     Blank rows are dropped. Charts with fewer than two headers or no row give nothing.
     """
 
+    schema = T.StructType([charts.schema["chart_id"], *T.StructType.fromDDL("headers array<string>, body array<array<string>>").fields])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -29,7 +31,7 @@ def csv_cells(charts: DataFrame) -> DataFrame:
                     rows.append((chart_id, lines[0], [(line + [""] * k)[:k] for line in body]))
             yield pd.DataFrame(rows, columns=["chart_id", "headers", "body"])
 
-    return charts.select("chart_id", "csv").mapInPandas(run, "chart_id long, headers array<string>, body array<array<string>>")
+    return charts.select("chart_id", "csv").mapInPandas(run, schema)
 
 
 def looks_temporal(text: Column) -> Column:

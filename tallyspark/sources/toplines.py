@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import ascii_lower, normalize_text, words
 
@@ -18,12 +18,14 @@ QUESTION = r"^[A-Z][A-Za-z0-9_-]{0,24}\. \S|^[0-9]{1,3}[A-Za-z]?\. \S"
 CONTENTS = r"\.\s*\.\s*\."
 SIZE = r"\(?N\s*=\s*([0-9,]+)\)?"
 LOOK_AHEAD, SIZE_WITHIN, LABEL_LINES, TEMPLATE_WITHIN = 24, 12, 4, 20
+#: Titles, and fixed lines of page furniture, of the layout with fixed templates.
+NUMBERED, DOCUMENT_TITLE, SAMPLE = r"[0-9]+[A-Z]?\. ", "The Economist/YouGov Poll", "U.S. Adult Citizens"
 #: Panel headers and their columns and groups, of the layout with fixed templates.
 TEMPLATES = (
     ("Sex Race Age Education", ("Total", "Male", "Female", "White", "Black", "Hispanic", "18-29", "30-44", "45-64", "65+", "No degree", "College grad"), (("Sex", 2), ("Race", 3), ("Age", 4), ("Education", 2))),
     ("2024 Vote Reg Ideology MAGA Party ID", ("Total", "Harris", "Trump", "Voters", "Lib", "Mod", "Con", "Supporter", "Dem", "Ind", "Rep"), (("2024 Vote", 2), ("Reg", 1), ("Ideology", 3), ("MAGA", 1), ("Party ID", 3))),
 )
-CELLS = "doc_id long, question string, panel int, row_idx int, row_label string, col_idx int, column_label string, group_title string, value double"
+CELLS = "question string, prompt string, panel int, row_idx int, row_label string, col_idx int, column_label string, group_title string, value double"
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,7 +125,7 @@ def parse_by_headers(lines: list[str]) -> list[tuple]:
                 found = _row(" ".join(pending), len(labels))
                 if found:
                     if found[0] and found[0].lower() != "total":
-                        out += [(wording, 0, row, found[0], c, label, RESPONDENTS, v) for c, (label, v) in enumerate(zip(labels, found[1]))]
+                        out += [(wording, "", 0, row, found[0], c, label, RESPONDENTS, v) for c, (label, v) in enumerate(zip(labels, found[1]))]
                         row += 1
                     pending = []
             at += 1
@@ -131,36 +133,102 @@ def parse_by_headers(lines: list[str]) -> list[tuple]:
     return out
 
 
-def parse_by_templates(lines: list[str]) -> list[tuple]:
-    """Cells of questions whose panels have one of the fixed headers."""
-    out, i = [], 0
-    while i < len(lines):
-        if _kind(lines[i]) != "question":
-            i += 1
-            continue
-        question, at, panel = lines[i], i + 1, 0
-        while at < len(lines) and _kind(lines[at]) != "question":
-            head = next(((j, t) for j in range(at, min(at + TEMPLATE_WITHIN, len(lines))) for t in TEMPLATES if lines[j] == t[0]), None)
-            if head is None or any(_kind(x) == "question" for x in lines[at : head[0]]):
-                break
-            (at, (_, columns, groups)), row = head, 0
+class _TemplateDocument:
+    """Reads lines one by one: a title waits for its first panel and gathers a prompt, then panels follow until the next title.
+
+    Page furniture (blank lines, page numbers, the document's title, the line of the sample) is passed over in and
+    between panels, so that a page break cuts neither a panel nor a label of several lines. A title that no panel
+    follows within TEMPLATE_WITHIN lines, or before the document's title or another one, is no question.
+    """
+
+    def __init__(self) -> None:
+        self.cells: list[tuple] = []
+        self.title: str | None = None
+        self.ahead: list[str] = []
+        self.prompt = ""
+        self.panel = self.row = 0
+        self.template: tuple | None = None
+        self.pending: list[str] = []
+        self.panels = 0
+
+    def _begin(self, title: str) -> None:
+        self.title, self.ahead, self.panels, self.template, self.pending = title, [], 0, None, []
+
+    def _open(self, template: tuple) -> None:
+        if not self.panels:
+            self.prompt = " ".join(line for line in self.ahead if line and not _is_digits(line))
+        self.template, self.panel, self.row, self.pending = template, self.panels, 0, []
+        self.panels += 1
+
+    def _wait(self, line: str) -> list[str]:
+        """A line between a title and its first panel; the lines to read again if the title turns out to be none."""
+        self.ahead.append(line)
+        if line == DOCUMENT_TITLE or len(self.ahead) >= TEMPLATE_WITHIN - 1 or (len(self.ahead) > 1 and _is_numbered_title(line)):
+            self.title = None
+            return self.ahead
+        return []
+
+    def _read_row(self, line: str) -> None:
+        _, columns, groups = self.template
+        if line == " ".join(columns):
+            return
+        self.pending.append(line)
+        found = _percentages(" ".join(self.pending), len(columns))
+        if found:
             titles = [None] + [title for title, n in groups for _ in range(n)]
-            at += 1
-            while at < len(lines) and not lines[at].startswith("Totals ") and _kind(lines[at]) != "question" and not any(lines[at] == t[0] for t in TEMPLATES):
-                tokens = lines[at].split()
-                found = _row(lines[at], len(columns))
-                if found and all(t.endswith("%") or t in "*-" for t in tokens[-len(columns) :]):
-                    out += [(question, panel, row, found[0], c, label, titles[c], v) for c, (label, v) in enumerate(zip(columns, found[1]))]
-                    row += 1
-                at += 1
-            panel += 1
-        i = max(at, i + 1)
-    return out
+            self.cells += [(self.title, self.prompt, self.panel, self.row, found[0], c, label, titles[c], v) for c, (label, v) in enumerate(zip(columns, found[1]))]
+            self.row, self.pending = self.row + 1, []
+
+    def read(self, line: str) -> None:
+        template = next((t for t in TEMPLATES if t[0] == line), None)
+        if self.title is not None and template:
+            self._open(template)
+        elif self.title is not None and not self.panels:
+            for skipped in self._wait(line):
+                self.read(skipped)
+        elif _is_numbered_title(line):
+            self._begin(line)
+        elif self.template and not _is_furniture(line):
+            if line.startswith("Totals "):
+                self.template = None
+            else:
+                self._read_row(line)
+
+
+def _is_digits(line: str) -> bool:
+    return line.isascii() and line.isdigit()
+
+
+def _is_numbered_title(line: str) -> bool:
+    return bool(re.match(NUMBERED, line)) and not re.search(CONTENTS, line)
+
+
+def _is_furniture(line: str) -> bool:
+    return not line or _is_digits(line) or line == DOCUMENT_TITLE or SAMPLE in line
+
+
+def _percentages(line: str, k: int) -> tuple[str, list[float]] | None:
+    """Label and exactly k percentages at the end of a line."""
+    tokens = line.split()
+    shown = [t.endswith("%") or t in ("*", "-") for t in tokens[-k - 1 :]]
+    return _row(line, k) if all(shown[1:]) and len(tokens) > k and not tokens[-k - 1].endswith("%") else None
+
+
+def parse_by_templates(lines: list[str]) -> list[tuple]:
+    """Cells of questions whose panels have one of the fixed headers; a line of column names below a header may be missing."""
+    document = _TemplateDocument()
+    for line in lines:
+        document.read(line)
+    return document.cells
 
 
 def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
-    """Cells of the questions in each document; a document is parsed on its own, so that nothing is shuffled."""
+    """Cells of the questions in each document, with doc_id as it comes; a document is parsed on its own, so that nothing is shuffled.
+
+    With "headers" the wording holds the prompt; with "templates" it is a column of its own.
+    """
     parse: Callable = {"headers": parse_by_headers, "templates": parse_by_templates}[layout]
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(CELLS).fields])
 
     def run(batches):
         for batch in batches:
@@ -168,9 +236,9 @@ def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 lines = [" ".join(_without_banners(x).split()) for x in (text or "").split("\n")]
                 rows += [(doc_id, *r) for r in parse(lines)]
-            yield pd.DataFrame(rows, columns=["doc_id", "question", "panel", "row_idx", "row_label", "col_idx", "column_label", "group_title", "value"])
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, CELLS)
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
 def document_header(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
