@@ -172,6 +172,8 @@ ORACLE_SQL |= {
     "topline_panels": f"""WITH {_PANELS}, k AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_text(c)}, {'NULL' if g is None else _text(g)})" for i, (c, g) in enumerate(_PANEL_COLUMNS))}) AS k(col_idx, column_label, group_title))
         SELECT '15. Support for the war' AS question, {_pick(ANSWERS, "l_linenumber - 1")} AS row_label, col_idx, column_label, group_title, count(*) AS n, CAST(sum(v + col_idx) AS DOUBLE) AS total
         FROM lines JOIN bare USING (l_orderkey) CROSS JOIN k WHERE bare.r = 0 GROUP BY ALL""",
+    "classifier_log": f"""SELECT DISTINCT {_FNV.format("p_name")} AS question_fingerprint, p_name AS canonical_topic_id, CASE WHEN p_name LIKE '%ring%' THEN 'second' ELSE 'first' END AS canonical_label, 'accepted' AS review_status,
+        CASE WHEN p_name LIKE '%ring%' THEN 1 ELSE 0 END AS failures, CASE WHEN p_name LIKE '%ring%' THEN 'TimeoutError: first' END AS reason FROM part""",
     "topline_pages": f"""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS INTEGER) AS v, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS row_idx, {_pick(ANSWERS, "l_linenumber - 1")} AS label FROM lineitem GROUP BY 1, 2)
         SELECT l_orderkey AS doc_id, '15. Support for the war' AS question, 'Do you support or oppose the war of order ' || l_orderkey || '?' AS prompt, p.panel, row_idx, label AS row_label, p.n, p.last_group, CAST(p.n * v + p.n * (p.n + 1) // 2 AS DOUBLE) AS total FROM l, (VALUES (0, 12, 'Education'), (1, 11, 'Party ID')) AS p(panel, n, last_group)
         UNION ALL SELECT l_orderkey, '17A. Trust', '', 0, row_idx, 'Other or ' || label, 12, 'Education', CAST(12 * v + 78 AS DOUBLE) FROM l""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import hashing, questions as q, rules, text as x
-from .operators import builder, cluster, headlines, pooling, polls as p, question_index as qi, terms
+from .operators import builder, cluster, headlines, pooling, polls as p, question_index as qi, reply_log, terms
 from .operators.keyed_store import merge_into_store, read_store, read_version
 from .plans import views, workloads
 from .shared import materialize, new_shared_path
@@ -189,6 +189,25 @@ def enrichment_batch(spark: SparkSession, sf: str) -> DataFrame:
     return workloads.enrichment_batch(seen, workloads.derived_index(seen)).select("question_fingerprint", "source_id", "canonical_topic_id", "model", "review_status")
 
 
+def classifier_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts' names asked of a classifier that fails for some, of one that does not, and of one that always fails: records of the log and failures."""
+    path = new_shared_path(spark, "replies")
+    asked = views.questions(spark, sf).select(hashing.hash16(F.col("p_name")).alias("question_fingerprint"), F.lit("ipsos").alias("source_id"), F.col("p_name").alias("title"), F.lit("").alias("prompt"), F.array().cast("array<string>").alias("answer_labels")).distinct()
+
+    def classifier(call: str, fails: str | None):
+        def run(rows):
+            if fails is not None and rows["title"].str.contains(fails, regex=False).any():
+                raise TimeoutError(call)
+            return ['{"canonical_topic_id": "%s", "canonical_label": "%s", "confidence": 0.9}' % (title, call) for title in rows["title"]]
+
+        return run
+
+    for call, fails in (("first", "ring"), ("second", None), ("third", "")):
+        found = reply_log.classify_logged(asked, classifier(call, fails), "m", path)
+    failed = reply_log.failures(reply_log.read_log(spark, path), "m").select("question_fingerprint", "failures", "reason")
+    return found.join(failed, "question_fingerprint", "left").select("question_fingerprint", "canonical_topic_id", "canonical_label", "review_status", F.coalesce("failures", F.lit(0).cast("long")).alias("failures"), "reason")
+
+
 def similar_question_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Scores between wordings made of documents' word sets, as feature sets."""
     return cluster.similar_pairs(workloads.feature_nodes(spark, sf)).select("left", "right", F.round("score", 4).alias("score"))
@@ -390,6 +409,6 @@ def question_index_upserts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
-    question_fingerprint, apply_question_index, new_questions, classifier_output, enrichment_batch, similar_question_pairs, similar_parts, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
+    question_fingerprint, apply_question_index, new_questions, classifier_output, classifier_log, enrichment_batch, similar_question_pairs, similar_parts, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
     builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_pages, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
 )}
