@@ -12,6 +12,8 @@ from ..shared import materialize
 from ..functions.text import bind, search_text, title_words
 
 MIN_TERMS, MAX_LABEL_TERMS = 2, 5
+#: Tokens that are looked up in tasks, the most frequent first, and the longest of them: what is sent has 50 MB at most.
+LOOKED_UP, LONGEST = 100_000, 160
 #: key, label and the words that mean it.
 ALIASES = (
     ("ai", "AI", "ai"), ("covid", "COVID", "covid19 covid coronavirus"), ("sports", "sports", "sport sports"), ("price", "price", "price prices pricing cost costs"),
@@ -54,14 +56,30 @@ def display_label(token: Column) -> Column:
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token, key and label of each distinct token that is a term; stemming runs on distinct tokens only."""
-    distinct = tokens.select("token").distinct().withColumn("_alias", aliased(F.col("token")))
+    """token, n, key and label of each distinct token that is a term, with its number of rows; stemming runs on distinct tokens only."""
+    distinct = tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("_alias", aliased(F.col("token")))
     stemmed = distinct.withColumn("_stem", F.when(F.col("_alias").isNull() & (F.length("token") >= 3), stem_of(F.col("token"))))
     usable = (F.length("_stem") >= 3) & ~F.col("_stem").isin(*stopwords())
-    named = stemmed.select("token", F.coalesce("_alias.key", F.when(usable, F.col("_stem"))).alias("key"), F.coalesce("_alias.label", display_label(F.col("token"))).alias("label"))
+    named = stemmed.select("token", "n", F.coalesce("_alias.key", F.when(usable, F.col("_stem"))).alias("key"), F.coalesce("_alias.label", display_label(F.col("token"))).alias("label"))
     return named.where("key is not null")
 
 
+def with_terms(tokens: DataFrame) -> DataFrame:
+    """Tokens that are terms, with key and label.
+
+    The most frequent ones, or all where there are no more, are looked up in tasks, so that their rows are not shuffled.
+    Of the others none has more than one in LOOKED_UP rows (if it is not over LONGEST characters), and they are joined.
+    """
+    known = materialize(vocabulary(tokens), "vocabulary")
+    short = F.length("token") <= LONGEST
+    common = known.where(short).orderBy(F.col("n").desc(), "token").limit(LOOKED_UP).drop("n")
+    looked_up = tokens.join(F.broadcast(common), "token")
+    if known.count() <= LOOKED_UP and known.where(~short).isEmpty():
+        return looked_up
+    tokens_left, known_left = (df.join(F.broadcast(common.select("token")), "token", "left_anti") for df in (tokens, known.drop("n")))
+    return looked_up.unionByName(tokens_left.join(known_left, "token"))
+
+
 def distinct_by_key(terms: Column) -> Column:
     """The first term of each key."""
     return bind(terms, lambda all_terms: F.filter(all_terms, lambda t, i: F.array_position(F.transform(all_terms, lambda u: u["key"]), t["key"]) == i + 1))
@@ -71,8 +89,8 @@ def extract_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, terms (array of key and label), features (sorted keys), signature and intent; texts with under two terms are dropped."""
     parts = lambda focus: F.struct(search_text(F.coalesce(battery_item(focus), focus)).alias("search"), intent_of(search_text(focus)).alias("intent"))
     texts = materialize(df.select(id_col, bind(clean_generic(F.col(text_col)), parts).alias("_p")).select(id_col, F.col("_p.search").alias("_search"), F.col("_p.intent").alias("intent")), "search-texts")
-    tokens = texts.select(id_col, F.posexplode(salient_tokens(F.col("_search"))).alias("_at", "token"))
-    named = tokens.join(vocabulary(tokens), "token").groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "key", "label"))), lambda t: F.struct(t["key"].alias("key"), t["label"].alias("label"))).alias("_own"))
+    tokens = texts.select(id_col, F.posexplode(F.array_distinct(salient_tokens(F.col("_search")))).alias("_at", "token"))
+    named = with_terms(tokens).groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "key", "label"))), lambda t: F.struct(t["key"].alias("key"), t["label"].alias("label"))).alias("_own"))
     joined = texts.join(named, id_col, "left")
     none = F.array().cast("array<struct<key:string,label:string>>")
     joined = joined.withColumn("_terms", distinct_by_key(F.concat(phrase_terms(F.col("_search")), F.coalesce("_own", none))))
@@ -118,4 +136,4 @@ def observation_terms(df: DataFrame, id_col: str = "obs_id") -> DataFrame:
     return found.join(answered, id_col).withColumn("intent", F.coalesce("_answered", "intent")).drop("_answered")
 
 
-__all__ = ["extract_terms", "headline_candidates", "is_question_code", "label_of_terms", "observation_terms", "phrase_terms", "title_term", "vocabulary"]
+__all__ = ["extract_terms", "headline_candidates", "is_question_code", "label_of_terms", "observation_terms", "phrase_terms", "title_term", "vocabulary", "with_terms"]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions.hashing import hash8
-from tallyspark.operators import cluster
+from tallyspark.operators import cluster, terms
 from tallyspark.sources import toplines
 
 
@@ -59,3 +59,21 @@ def test_rules_on_distinct_values(spark):
             assert sorted(map(str, pooling.on_distinct(df, keys, rule, "_a", most).select(*df.columns, "_a").collect())) == expected
     plan = pooling.on_distinct(df, ("topic_id", "row_label"), F.upper("row_label"), "_a")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_terms_do_not_depend_on_what_is_looked_up(spark, monkeypatch):
+    texts = [(i, f"Should the tariffs on imports from {c} and the border wall help workers in factories {'x' * (150 + i)}?") for i, c in enumerate(["Canada", "Mexico", "China", "Canada"] * 5)]
+    df = spark.createDataFrame([*texts, (99, None), (100, "")], "i long, t string")
+    rows = lambda: sorted((r["i"], [tuple(t) for t in r["terms"]], r["signature"], r["intent"]) for r in terms.extract_terms(df, "i", "t").collect())
+    all_looked_up = rows()
+    for limit, longest in ((3, 160), (1, 3), (0, 160), (100_000, 5)):
+        monkeypatch.setattr(terms, "LOOKED_UP", limit)
+        monkeypatch.setattr(terms, "LONGEST", longest)
+        assert rows() == all_looked_up
+    assert len(all_looked_up) == 20
+
+
+def test_frequent_tokens_are_not_shuffled(spark):
+    tokens = spark.range(1000).selectExpr("id AS i", "0 AS _at", "if(id % 3 > 0, 'tariffs', 'borders') AS token")
+    plan = terms.with_terms(tokens)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
