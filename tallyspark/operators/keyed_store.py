@@ -29,18 +29,18 @@ class Version:
     folders: dict[int, str]
 
 
-def _place(spark: SparkSession, path: str):
+def place_of(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, at = _place(spark, path)
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    fs, at = place_of(spark, path)
     return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
 
 
 def _read_version(spark: SparkSession, path: str, number: int) -> Version | None:
-    fs, at = _place(spark, f"{path}/versions/{number:012d}")
+    fs, at = place_of(spark, f"{path}/versions/{number:012d}")
     stream = fs.open(at)
     try:
         lines = bytes(stream.readAllBytes()).decode().splitlines()
@@ -54,7 +54,7 @@ def _read_version(spark: SparkSession, path: str, number: int) -> Version | None
 
 def newest_version(spark: SparkSession, path: str, before: int | None = None) -> Version | None:
     """The newest complete version (with a number below `before`), if there is one."""
-    numbers = sorted((int(n) for n in _names(spark, f"{path}/versions") if n.isdigit()), reverse=True)
+    numbers = sorted((int(n) for n in names_below(spark, f"{path}/versions") if n.isdigit()), reverse=True)
     for number in numbers:
         if before is None or number < before:
             found = _read_version(spark, path, number)
@@ -65,7 +65,7 @@ def newest_version(spark: SparkSession, path: str, before: int | None = None) ->
 
 def _commit(spark: SparkSession, path: str, version: Version) -> bool:
     """Whether this writer made the version; False if there is one with its number."""
-    fs, at = _place(spark, f"{path}/versions/{version.number:012d}")
+    fs, at = place_of(spark, f"{path}/versions/{version.number:012d}")
     if fs.exists(at):
         return False
     try:
@@ -118,12 +118,12 @@ def merge_into_store(path: str, rows: DataFrame, keys: Sequence[str], combine: C
         merged = combine(read_version(spark, path, rows.schema, base, touched), rows).select(rows.columns)
         folder = f"{(base.number if base else 0) + 1 if number is None else number:012d}-{uuid.uuid4().hex}"
         merged.withColumn("bucket", bucket_of(keys, n)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
-        written = {int(name.partition("=")[2]) for name in _names(spark, f"{path}/data/{folder}") if name.startswith("bucket=")}
+        written = {int(name.partition("=")[2]) for name in names_below(spark, f"{path}/data/{folder}") if name.startswith("bucket=")}
         kept = {k: v for k, v in (base.folders if base else {}).items() if k not in touched}
         version = Version(int(folder.partition("-")[0]), n, kept | dict.fromkeys(written, folder))
         if _commit(spark, path, version):
             return version
-        fs, at = _place(spark, f"{path}/data/{folder}")
+        fs, at = place_of(spark, f"{path}/data/{folder}")
         fs.delete(at, True)
         if number is not None and newest_version(spark, path, number + 1) == base:
             raise RuntimeError(f"version {number} of {path} was begun by a writer that is lost; delete its file")
@@ -132,4 +132,4 @@ def merge_into_store(path: str, rows: DataFrame, keys: Sequence[str], combine: C
 def unused_folders(spark: SparkSession, path: str) -> list[str]:
     """Folders that the newest version does not name; older versions may."""
     used = set((newest_version(spark, path) or Version(0, 0, {})).folders.values())
-    return sorted(name for name in _names(spark, f"{path}/data") if name not in used)
+    return sorted(name for name in names_below(spark, f"{path}/data") if name not in used)

@@ -215,3 +215,20 @@ ORACLE_SQL["similar_parts"] = f"""
 ORACLE_SQL["snapshot_ingest"] = f"SELECT {_pick(SOURCES, 'user_id % 4')} AS source_id, 'u' || user_id || '-' || event_type AS article_url, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1, 2"
 ORACLE_SQL["pooled_incrementally"] = ORACLE_SQL["pooled_all_topics"]
 ORACLE_SQL["question_index_upserts"] = f"""SELECT {_FNV.format("p_name")} AS question_fingerprint, p_name AS title, CASE WHEN contains(p_name, 'ring') THEN 'ring' WHEN contains(p_name, 'small') THEN 'small' ELSE 'first' END AS model FROM (SELECT DISTINCT p_name FROM part)"""
+#: Feature sets of the wordings that no rule matches, by hand: (number of the wording, features).
+_FEATURES = ((9, "iran military-conflict"), (10, "iran military-conflict"), (11, "betting legal onlin sports state"), (12, "betting legal onlin state"), (13, "ai artifici heard intellig school tool"), (14, "ai heard school tool work"), (15, "senat smith"))
+ORACLE_SQL["collection_observations"] = f"""WITH {_CELLS}, f AS (SELECT n, 'headline-candidate-' || right({_FNV.format("features")}, 8) AS candidate FROM (VALUES {", ".join(f"({n}, '{t}')" for n, t in _FEATURES)}) AS v(n, features)),
+  s AS (SELECT *, structure_idx % 5 = 0 AS tab, CASE WHEN structure_idx % 5 = 0 THEN title ELSE title || ' ' || prompt END AS shown FROM cells WHERE structure_idx % 5 = 0 OR (structure_idx % 5 < 4 AND col_idx = 0)),
+  hits AS (SELECT s.*, lower(title || ' ' || prompt) AS low FROM s), matched AS (
+    SELECT h.*, coalesce(split_part(t, '|', 1), candidate) AS topic_id, coalesce(split_part(t, '|', 2), '{ROLLUP}') AS compatibility FROM (SELECT *, {_TOPIC} AS t FROM hits) h LEFT JOIN f ON h.structure_idx % {len(QUESTIONS)} = f.n WHERE t IS NOT NULL OR candidate IS NOT NULL),
+  named AS (SELECT *, {_DEMO} AS demographic_id FROM matched), firsts AS (SELECT structure_idx, demographic_id, min(col_idx) AS col_idx FROM named GROUP BY ALL),
+  answers AS ({_rolled("(SELECT n.* FROM named n JOIN firsts f ON n.structure_idx = f.structure_idx AND n.demographic_id = f.demographic_id AND n.col_idx = f.col_idx)", "structure_idx, topic_id, demographic_id")}),
+  summed AS (SELECT structure_idx, count(DISTINCT demographic_id) AS n_demographics, count(*) AS n_answers, round(sum(value), 6) AS total FROM answers GROUP BY 1),
+  shown AS (SELECT DISTINCT structure_idx, source_id, topic_id, compatibility, tab, prompt, shown, CASE WHEN source_id IN ('ipsos', 'yougov') THEN regexp_replace(regexp_replace(shown, '^.*TM1128Y17_25\\. ', ''), '^(CP1|15)\\. ', '') ELSE regexp_replace(shown, '^(CP1|15)\\. ', '') END AS question_title FROM matched)
+  SELECT source_id || ':' || topic_id || ':' || structure_idx AS id, topic_id, compatibility, 'week ' || weekofyear(published_on) AS source_collection,
+    coalesce(nullif(regexp_extract(shown, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), ''), CASE WHEN structure_idx % 3 > 0 THEN CAST(published_on AS VARCHAR) END) AS poll_date, question_title, CASE WHEN tab THEN prompt ELSE question_title END AS prompt, n_demographics, n_answers, total
+  FROM shown JOIN summed USING (structure_idx) JOIN (SELECT poll_key, published_on FROM polls) p ON structure_idx = p.poll_key"""
+ORACLE_SQL["snapshot_refresh"] = f"""WITH {_POLLS}, old AS (SELECT source_id, count(*) AS n, sum(poll_key) AS total FROM polls WHERE published_on < DATE '1997-01-01' GROUP BY 1), every AS (SELECT source_id, count(*) AS n, sum(poll_key) AS total FROM polls GROUP BY 1)
+  SELECT c.scope, c.source_id, c.call, c.state, c.warning, x.n, x.total FROM (VALUES {", ".join(f"({_text(scope)}, {_text(name)}, {call}, {_text(state)}, {which}, {warned})" for scope, call, state, which, warned in (
+      ("missing", 1, "refreshed", 1, "false"), ("fresh", 1, "fresh", 0, "false"), ("future", 1, "fresh", 0, "false"), ("unreadable", 1, "fresh", 0, "false"), ("stale", 1, "refreshed", 1, "false"), ("failing", 1, "stale", 0, "true"), ("failing", 2, "fresh", 0, "false"), ("lost", 1, "unavailable", 2, "true")) for name in SOURCES)}) AS c(scope, source_id, call, state, which, warning)
+  LEFT JOIN (SELECT 0 AS which, * FROM old UNION ALL SELECT 1, * FROM every) x ON x.which = c.which AND x.source_id = c.source_id"""

@@ -97,3 +97,24 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_size",
     )
     return with_question(frame)
+
+
+def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A structure per order with lines, of the five kinds in turn, in the schema of a collection; charts ask in their titles."""
+    own = polls(spark, sf_dir).withColumns({"collection_title": F.concat(F.lit("week "), F.weekofyear("published_on").cast("string")), "collection_subtitle": F.when(F.pmod("poll_key", F.lit(3)) > 0, F.concat(F.lit("released "), F.col("published_on").cast("string")))})
+    rows = cells(spark, sf_dir, own).groupBy("source_rank", "structure_idx", "source_id", "collection_title", "collection_subtitle", "title", "prompt", "row_idx", "row_label")
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("col_idx", "column_label", "group_title", "value"))).alias("c"))
+    made = rows.groupBy("source_rank", "structure_idx", "source_id", "collection_title", "collection_subtitle", "title", "prompt").agg(F.sort_array(F.collect_list(F.struct("row_idx", "row_label", "c"))).alias("r"))
+    kind = pick(("Crosstab", "BarGraph", "PieChart", "LineGraph", "Unstructured"), F.pmod("structure_idx", F.lit(5)))
+    total = lambda v: F.get(v["c"], F.lit(0))["value"]
+    head = F.get("r", F.lit(0))["c"]
+    groups = F.transform(F.slice(head, 2, 2), lambda c: F.struct(c["group_title"].alias("title"), F.array(c["column_label"]).alias("labels")))
+    panel = F.struct(F.transform(head, lambda c: c["column_label"]).alias("columns"), groups.alias("groups"), F.transform("r", lambda v: F.struct(v["row_label"].alias("label"), F.transform(v["c"], lambda c: c["value"]).alias("values"))).alias("rows"))
+    wording = F.concat_ws(" ", "title", "prompt")
+    of = lambda name, column: F.when(F.col("type") == name, column)
+    return made.withColumn("type", kind).select(
+        "source_rank", "structure_idx", "source_id", "collection_title", "collection_subtitle", "type", F.when(F.col("type") == "Crosstab", F.col("title")).when(F.col("type") != "Unstructured", wording).alias("title"), of("Crosstab", F.col("prompt")).alias("prompt"), F.lit("%").alias("y_unit"),
+        of("Unstructured", F.concat(wording, F.lit("\nno table"))).alias("data"), of("BarGraph", F.transform("r", lambda v: v["row_label"])).alias("x"), of("BarGraph", F.transform("r", total)).alias("y"),
+        of("PieChart", F.transform("r", lambda v: F.struct(v["row_label"].alias("label"), total(v).alias("value")))).alias("slices"),
+        of("LineGraph", F.transform("r", lambda v: F.struct(v["row_label"].alias("label"), F.array(total(v) - 1, total(v)).alias("values")))).alias("series"), of("Crosstab", F.array(panel)).alias("panels"),
+    )

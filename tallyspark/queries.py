@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import hashing, questions as q, rules, text as x
-from .operators import builder, cluster, headlines, pooling, polls as p, question_index as qi, reply_log, terms
-from .operators.keyed_store import merge_into_store, read_store, read_version
+from .operators import builder, cluster, collections, headlines, pooling, polls as p, question_index as qi, reply_log, snapshots, terms
+from .operators.keyed_store import merge_into_store, place_of, read_store, read_version
 from .plans import views, workloads
 from .shared import materialize, new_shared_path
 from .sources import charts, pages, sheets, toplines
@@ -67,6 +69,13 @@ def structures_to_answers(spark: SparkSession, sf: str) -> DataFrame:
     return pooling.chart_cells(structures).select("structure_idx", F.col("row_idx").cast("int").alias("row_idx"), "row_label", "column_label", "value")
 
 
+def collection_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations of structures of all five kinds, with their topic or candidate and the sum of their answers."""
+    seen = collections.map_collection(views.structures(spark, sf))
+    demographics = F.size(F.array_distinct(F.transform("answers", lambda a: a["demographic_id"]))).cast("long")
+    return seen.select("id", "topic_id", "compatibility", "source_collection", "poll_date", "question_title", "prompt", demographics.alias("n_demographics"), F.size("answers").cast("long").alias("n_answers"), r6(F.aggregate("answers", F.lit(0.0), lambda s, a: s + a["value"])).alias("total"))
+
+
 def topic_matching(spark: SparkSession, sf: str) -> DataFrame:
     matched = pooling.with_topic(views.polls(spark, sf))
     labels = rules.catalog_table(spark).select("topic_id", "catalog_label")
@@ -362,6 +371,28 @@ def latest_snapshot_state(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source_id", "scope", "snapshot_id", "readable_count", "fresh")
 
 
+def snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Polls of each source served from snapshots on files: missing, fresh, future, unreadable, stale, stale with a failing source twice, and lost."""
+    root, now = new_shared_path(spark, "source-snapshots"), datetime(2026, 5, 1, 12, tzinfo=UTC)
+    every = materialize(views.polls(spark, sf).select("source_id", "poll_key", "published_on"), "polls")
+    out = None
+    for name in views.SOURCES:
+        own, failing = every.where(F.col("source_id") == name), lambda: spark.read.parquet(f"{root}/nothing")
+        first, whole = own.where("published_on < '1997-01-01'"), lambda own=own: own
+        for scope, hours in (("fresh", 0.5), ("future", -3), ("unreadable", 0.2), ("stale", 2), ("failing", 2)):
+            snapshots.write_snapshot(first, root, name, scope, now - timedelta(hours=hours))
+        snapshots.write_snapshot(own, root, name, "unreadable", now)
+        damaged = snapshots.newest_readable(spark, root, name, "unreadable", every.schema)
+        files, at = place_of(spark, damaged.path)
+        files.delete(at, True)
+        for scope, call, load in (("missing", 1, whole), ("fresh", 1, failing), ("future", 1, failing), ("unreadable", 1, failing), ("stale", 1, whole), ("failing", 1, failing), ("failing", 2, failing), ("lost", 1, failing)):
+            served = snapshots.serve(spark, root, name, scope, every.schema, load, now)
+            rows = spark.createDataFrame([], every.schema) if served.rows is None else served.rows
+            said = rows.agg(F.when(F.count("*") > 0, F.count("*")).alias("n"), F.sum("poll_key").alias("total")).select(F.lit(scope).alias("scope"), F.lit(name).alias("source_id"), F.lit(call).alias("call"), F.lit(served.state).alias("state"), F.lit(served.warning is not None).alias("warning"), "n", "total")
+            out = said if out is None else out.unionByName(said)
+    return out
+
+
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a file stream of releases; the appended releases, merged with none before."""
     schema = views.table(spark, sf, "events").schema
@@ -407,8 +438,8 @@ def question_index_upserts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
+    pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, collection_observations, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
     question_fingerprint, apply_question_index, new_questions, classifier_output, classifier_log, enrichment_batch, similar_question_pairs, similar_parts, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
-    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_pages, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
+    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_pages, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, snapshot_refresh, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
 )}
