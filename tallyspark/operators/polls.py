@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import ascii_lower, cutoff_date
+from ..shared import materialize
 
 FRESH_SECONDS = 3600
 
@@ -80,15 +81,16 @@ def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def load_sources(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+def load_sources(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]], written: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """All rows of the sources that can be read (None if none can), and source_id and warning of those that can't.
 
-    A loader fails when it is called: a missing path or table shows as soon as its frame is made.
+    A loader fails when it is called: a missing path or table shows as soon as its frame is made. With `written` each
+    source is read and written on its own, so that one whose files fail inside a task is a warning as well.
     """
     frames, warnings = {}, []
     for name, load in loaders.items():
         try:
-            frames[name] = load()
+            frames[name] = materialize(load(), f"source-{name}") if written else load()
         except Exception as failed:  # noqa: BLE001 - whatever a source raises makes it unavailable, not the others
             warnings.append((name, f"{name} unavailable: {str(failed).splitlines()[0]}"))
     return (union_sources(frames) if frames else None), spark.createDataFrame(warnings, "source_id string, warning string")

@@ -232,3 +232,8 @@ ORACLE_SQL["snapshot_refresh"] = f"""WITH {_POLLS}, old AS (SELECT source_id, co
   SELECT c.scope, c.source_id, c.call, c.state, c.warning, x.n, x.total FROM (VALUES {", ".join(f"({_text(scope)}, {_text(name)}, {call}, {_text(state)}, {which}, {warned})" for scope, call, state, which, warned in (
       ("missing", 1, "refreshed", 1, "false"), ("fresh", 1, "fresh", 0, "false"), ("future", 1, "fresh", 0, "false"), ("unreadable", 1, "fresh", 0, "false"), ("stale", 1, "refreshed", 1, "false"), ("failing", 1, "stale", 0, "true"), ("failing", 2, "fresh", 0, "false"), ("lost", 1, "unavailable", 2, "true")) for name in SOURCES)}) AS c(scope, source_id, call, state, which, warning)
   LEFT JOIN (SELECT 0 AS which, * FROM old UNION ALL SELECT 1, * FROM every) x ON x.which = c.which AND x.source_id = c.source_id"""
+_CHARTS = f"""{_LINES}, c AS (SELECT l_orderkey AS chart_id, l_orderkey % 10 AS k, {_pick(SOURCES, "l_orderkey % 4")} AS source_id, count(*) AS n FROM lines GROUP BY 1),
+  charts AS (SELECT source_id, chart_id, CASE WHEN k < 2 THEN 'failed' WHEN k < 4 THEN 'skipped' ELSE 'ok' END AS status, CASE k WHEN 0 THEN 'undecodable text' WHEN 1 THEN 'Error' END AS reason, CASE WHEN k < 4 THEN 0 WHEN k = 4 THEN n + 1 ELSE n END AS n_rows FROM c)"""
+ORACLE_SQL["source_failures"] = f"WITH {_CHARTS} SELECT * FROM charts"
+ORACLE_SQL["source_account"] = f"""WITH {_CHARTS}, f AS (SELECT source_id, string_agg(chart_id || ' ' || reason, '|' ORDER BY chart_id) AS failure_samples FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chart_id) AS r FROM charts WHERE status = 'failed') WHERE r <= 3 GROUP BY 1)
+  SELECT source_id, count(*) AS candidates, count(*) FILTER (status = 'failed') AS failures, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'ok') AS structures, any_value(failure_samples) AS failure_samples, bool_and(status = 'failed') AS all_failed FROM charts LEFT JOIN f USING (source_id) GROUP BY 1"""

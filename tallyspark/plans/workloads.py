@@ -132,6 +132,18 @@ def panel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("The Poll\n15. Support for the war\n"), head, body, F.lit("\nTotals 100% 100%\n")).alias("text"))
 
 
+def raw_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart per order as bytes, with a ragged row; of ten in turn one is not UTF-8, one ends in an open quote, one has no rows, one is null, and one has a quoted comma and newline."""
+    rows = views.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("int").alias("v"))
+    line = F.concat_ws(",", views.pick(views.ANSWERS, F.col("l_linenumber") - 1), F.col("v").cast("string"), F.when(F.col("l_linenumber") > 1, F.col("v").cast("string")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
+    made = rows.groupBy(F.col("l_orderkey").alias("chart_id")).agg(F.concat(F.lit("Answer,All,Men\n"), body).alias("csv"))
+    k, text = F.pmod("chart_id", F.lit(10)), F.col("csv")
+    bad = F.when(k == 0, F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("FF")))).when(k == 1, F.encode(F.concat(text, F.lit('\n"open')), "UTF-8")).when(k == 2, F.encode(F.lit("Answer,All\n,\n"), "UTF-8"))
+    content = bad.when(k == 4, F.encode(F.concat(text, F.lit('\n"one, and\ntwo",3')), "UTF-8")).when(k != 3, F.encode(text, "UTF-8"))
+    return made.select(views.pick(views.SOURCES, F.pmod("chart_id", F.lit(4))).alias("source_id"), "chart_id", content.alias("content"))
+
+
 def paged_panel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per order in the layout with fixed templates, as pages come out: a contents line, a question with a prompt of two lines, both panels with page
     furniture in and between them and a label of two lines, a title without a panel, and a question of one panel whose first line is the order's number."""

@@ -11,7 +11,7 @@ from .operators import builder, cluster, collections, headlines, pooling, polls
 from .operators.keyed_store import merge_into_store, place_of, read_store, read_version
 from .plans import views, workloads
 from .shared import materialize, new_shared_path
-from .sources import charts, pages, sheets, toplines
+from .sources import charts, outcomes, pages, sheets, toplines
 from .streaming import ingest
 
 TODAY = "2001-08-02"
@@ -287,6 +287,21 @@ def chart_csv_tables(spark: SparkSession, sf: str) -> DataFrame:
     return lines.unionByName(tabs)
 
 
+def source_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Charts as bytes, some of them undecodable, badly quoted, empty or missing: status, reason and number of rows of each."""
+    raw = workloads.raw_charts(spark, sf)
+    done = outcomes.parse_outcomes(raw, ["source_id", "chart_id"], "content", charts.parse_table_strictly, charts.TABLE)
+    return done.select("source_id", "chart_id", "status", F.substring_index("failure", ":", 1).alias("reason"), F.coalesce(F.size(F.get("rows", F.lit(0))["body"]), F.lit(0)).cast("long").alias("n_rows"))
+
+
+def source_account(spark: SparkSession, sf: str) -> DataFrame:
+    """The account of the same charts by source, with the charts that failed first."""
+    done = outcomes.parse_outcomes(workloads.raw_charts(spark, sf), ["source_id", "chart_id"], "content", charts.parse_table_strictly, charts.TABLE)
+    detail = F.concat_ws(" ", F.col("chart_id").cast("string"), F.substring_index("failure", ":", 1))
+    account = p.ingest_account(done.select("source_id", F.col("chart_id").alias("ord"), "status", detail.alias("detail")))
+    return account.withColumn("failure_samples", F.array_join("failure_samples", "|"))
+
+
 def sheet_topline(spark: SparkSession, sf: str) -> DataFrame:
     return sheets.topline_bars(workloads.topline_sheets(spark, sf)).select("workbook", "question", "label", "value")
 
@@ -441,5 +456,5 @@ QUERIES = {f.__name__: f for f in (
     pooled_topic_by_demographic, pooled_all_topics, pooled_nested, answer_rollup, demographic_mapping, dedupe_demographics, structures_to_answers, collection_observations, topic_matching, latest_n_polls, scope_cutoffs, dedupe_releases,
     ingest_accounting, keyword_filter, source_overview, collection_subtitles, text_normalise, question_cleaning, battery_items, intent_detection, iso_dates_in_text, text_dates, number_parsing, term_extraction, text_hashes,
     question_fingerprint, apply_question_index, new_questions, classifier_output, classifier_log, enrichment_batch, similar_question_pairs, similar_parts, question_clusters, headline_topics, headline_workload, trend_series, latest_snapshot, wide_series,
-    builder_options, page_urls, page_links, page_assets, chart_csv_tables, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_pages, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, snapshot_refresh, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
+    builder_options, page_urls, page_links, page_assets, chart_csv_tables, source_failures, source_account, sheet_topline, sheet_crosstab, line_kinds, topline_text_tables, topline_panels, topline_pages, topline_fallback, document_headers, source_union, topic_lookup, question_index_store, index_application, index_new_questions, latest_snapshot_state, snapshot_refresh, incremental_ingest, snapshot_ingest, pooled_incrementally, question_index_upserts,
 )}

@@ -12,23 +12,37 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import chart_number, normalize_text
 
 
+#: Columns of a chart's table.
+TABLE = "headers array<string>, body array<array<string>>"
+
+
+def parse_table(text: str, strict: bool = False) -> list[tuple]:
+    """Headers and body of a CSV text, if it has any; strict: quotes that do not fit raise an error."""
+    lines = [[" ".join(c.split()) for c in line] for line in csv.reader(io.StringIO(text), strict=strict)]
+    body = [line for line in lines[1:] if any(line)]
+    if not body or len(lines[0]) < 2:
+        return []
+    k = len(lines[0])
+    return [(lines[0], [(line + [""] * k)[:k] for line in body])]
+
+
+def parse_table_strictly(text: str) -> list[tuple]:
+    return parse_table(text, strict=True)
+
+
 def csv_cells(charts: DataFrame) -> DataFrame:
     """chart_id, headers and body (rows of texts as long as the headers) of each chart (chart_id, csv text), one row a chart.
 
     Blank rows are dropped. Charts with fewer than two headers or no row give nothing.
     """
 
-    schema = T.StructType([charts.schema["chart_id"], *T.StructType.fromDDL("headers array<string>, body array<array<string>>").fields])
+    schema = T.StructType([charts.schema["chart_id"], *T.StructType.fromDDL(TABLE).fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for chart_id, text in zip(batch["chart_id"], batch["csv"]):
-                lines = [[" ".join(c.split()) for c in line] for line in csv.reader(io.StringIO(text or ""))]
-                body = [line for line in lines[1:] if any(line)]
-                if body and len(lines[0]) >= 2:
-                    k = len(lines[0])
-                    rows.append((chart_id, lines[0], [(line + [""] * k)[:k] for line in body]))
+                rows += [(chart_id, *found) for found in parse_table(text or "")]
             yield pd.DataFrame(rows, columns=["chart_id", "headers", "body"])
 
     return charts.select("chart_id", "csv").mapInPandas(run, schema)

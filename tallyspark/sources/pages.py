@@ -52,6 +52,14 @@ class _Elements(HTMLParser):
                 self.rows[i][2].append(data)
 
 
+def parse_elements(html: str) -> list[tuple]:
+    """ordinal, tag, href, text and css of a page's elements."""
+    parser = _Elements()
+    parser.feed(html)
+    parser.close()
+    return [(i, tag, href, " ".join("".join(text).split()), css) for i, (tag, href, text, css) in enumerate(parser.rows)]
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """page_id, ordinal, tag, href, text and css of the elements of each page (page_id, html)."""
 
@@ -59,10 +67,7 @@ def elements(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for page_id, html in zip(batch["page_id"], batch["html"]):
-                parser = _Elements()
-                parser.feed(html or "")
-                parser.close()
-                rows += [(page_id, i, tag, href, " ".join("".join(text).split()), css) for i, (tag, href, text, css) in enumerate(parser.rows)]
+                rows += [(page_id, *found) for found in parse_elements(html or "")]
             yield pd.DataFrame(rows, columns=["page_id", "ordinal", "tag", "href", "text", "css"])
 
     return pages.select("page_id", "html").mapInPandas(run, ELEMENT)
