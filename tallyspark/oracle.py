@@ -237,3 +237,28 @@ _CHARTS = f"""{_LINES}, c AS (SELECT l_orderkey AS chart_id, l_orderkey % 10 AS
 ORACLE_SQL["source_failures"] = f"WITH {_CHARTS} SELECT * FROM charts"
 ORACLE_SQL["source_account"] = f"""WITH {_CHARTS}, f AS (SELECT source_id, string_agg(chart_id || ' ' || reason, '|' ORDER BY chart_id) AS failure_samples FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chart_id) AS r FROM charts WHERE status = 'failed') WHERE r <= 3 GROUP BY 1)
   SELECT source_id, count(*) AS candidates, count(*) FILTER (status = 'failed') AS failures, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'ok') AS structures, any_value(failure_samples) AS failure_samples, bool_and(status = 'failed') AS all_failed FROM charts LEFT JOIN f USING (source_id) GROUP BY 1"""
+#: Bytes of a text in UTF-8, for hashes of texts that are not ASCII.
+_FNV_BYTES = "(SELECT lower(lpad(to_hex(CAST(list_reduce(list_concat([14695981039346656037::UHUGEINT], list_transform(range(1, length(h), 2), lambda i: CAST(16 * strpos('123456789ABCDEF', substr(h, i, 1)) + strpos('123456789ABCDEF', substr(h, i + 1, 1)) AS UHUGEINT))), lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS UBIGINT)), 16, '0')) FROM (SELECT hex(encode({0})) AS h))"
+#: Labels of terms of the wordings that no rule matches, by hand: those before the words of a part's name, whether these count, and those after.
+_LABELS = ((9, "Military conflict|Iran", 1, ""), (10, "Military conflict|Iran", 1, ""), (11, "Sports|Betting", 1, "Legal|Online|State"), (12, "Online|Betting", 1, "Legal|State"), (13, "AI|Artificial|Intelligence", 1, "Heard|Tool|School"), (14, "AI|Work", 1, "Heard|Tool|School"), (15, "Senator|Smith", 0, ""))
+#: Titles without codes and dates, by hand.
+_BARE = "CASE n WHEN 1 THEN 'Direction of the country' WHEN 3 THEN 'Main problem' WHEN 5 THEN 'Inflation' WHEN 7 THEN 'Foreign policy' ELSE title END"
+_CLEANED = f"CASE WHEN n IN (3, 5, 7) THEN {_BARE} || ': ' || prompt ELSE prompt END"
+_CAPITAL = "upper(left({0}, 1)) || substr({0}, 2)"
+_SEEN = f"""{_PART}, asked AS (SELECT obs_id, p_partkey AS obs_ord, n, title, p_name, p_type, t, source_id, CASE WHEN t IS NULL THEN p_name || ' ' || prompt ELSE prompt END AS prompt FROM (SELECT *, {_TOPIC} AS t FROM (SELECT *, {_pick(SOURCES, "p_partkey % 4")} AS source_id, lower(title || ' ' || prompt) AS low FROM questions))),
+  hand AS (SELECT f.n, f.features, l.before, l.own, l.after FROM (VALUES {", ".join(f"({n}, '{t}')" for n, t in _FEATURES)}) f(n, features) JOIN (VALUES {", ".join(f"({n}, '{b}', {w}, '{a}')" for n, b, w, a in _LABELS)}) l(n, before, own, after) ON f.n = l.n),
+  named AS (SELECT a.*, string_split(replace(p_name, 'large', 'larg'), ' ') AS stems, list_transform(string_split(p_name, ' '), lambda w: {_CAPITAL.format("w")}) AS shown, features, before, own, after FROM asked a LEFT JOIN hand h ON a.t IS NULL AND a.n = h.n),
+  keyed AS (SELECT *, {_search(f"lower({_CLEANED})")} AS key, array_to_string(list_sort(list_concat(string_split(features, ' '), CASE own WHEN 1 THEN stems ELSE [] END)), ' ') AS signature,
+    list_filter(list_concat(string_split(before, '|'), CASE own WHEN 1 THEN shown ELSE [] END, string_split(after, '|')), lambda w: w <> '') AS labels FROM named),
+  seen AS (SELECT *, {_FNV_BYTES.format("'v1|' || key || '|approve: ' || p_type || '|unsure: Unsure'")} AS question_fingerprint, t IS NULL AS candidate, CASE WHEN t IS NULL THEN 'headline-candidate-' || right({_FNV.format("signature")}, 8) ELSE split_part(t, '|', 1) END AS topic_id,
+    CASE WHEN t IS NULL THEN array_to_string(labels[1:5], ' ') ELSE title END AS topic_label, CASE WHEN t IS NULL THEN '{ROLLUP}' ELSE split_part(t, '|', 2) END AS compatibility FROM keyed),
+  firsts AS (SELECT question_fingerprint, min(obs_ord) AS first_ord, arg_min(source_id, obs_ord) AS first_source, arg_min(title, obs_ord) AS first_title FROM seen WHERE candidate GROUP BY 1)"""
+ORACLE_SQL |= {
+    "question_cleaning": f"""WITH {_PART}, p AS (SELECT *, {_pick(SOURCES, "p_partkey % 4")} AS source_id, {_BARE} AS bare FROM questions)
+      SELECT obs_id, {_CLEANED} AS cleaned, CASE WHEN n = 1 OR (n = 7 AND source_id IN ('emerson', 'gallup')) THEN title ELSE bare END AS by_source, lower(bare) AS question_key, CASE n WHEN 15 THEN prompt || ' Senator Smith' ELSE bare || ': ' || prompt END AS wording FROM p""",
+    "question_fingerprint": f"WITH {_SEEN} SELECT obs_id, question_fingerprint FROM seen",
+    "new_questions": f"WITH {_SEEN} SELECT question_fingerprint, first_ord AS obs_ord, first_source AS source_id, first_title AS title FROM firsts WHERE first_ord % 3 > 0",
+    "apply_question_index": f"""WITH {_SEEN}, records AS (SELECT question_fingerprint, 'headline-' || {_slug("first_title")} AS topic, CASE WHEN first_ord % 6 > 0 THEN first_title ELSE replace(array_to_string(list_transform(string_split({_slug("first_title")}, '-'), lambda w: {_CAPITAL.format("w")}), ' '), 'Ai ', 'AI ') END AS label FROM firsts WHERE first_ord % 3 = 0 AND first_ord % 9 > 0)
+      SELECT s.obs_id, CASE WHEN r.topic IS NULL THEN s.topic_id ELSE r.topic END AS topic_id, coalesce(r.label, s.topic_label) AS topic_label, s.compatibility, r.topic IS NOT NULL AS applied FROM seen s LEFT JOIN records r ON s.candidate AND s.question_fingerprint = r.question_fingerprint""",
+    "enrichment_batch": f"""WITH {_SEEN} SELECT question_fingerprint, first_source AS source_id, CASE WHEN first_ord % 6 = 0 THEN '/api/v1/topics/' || first_title WHEN first_ord % 3 = 0 THEN '' ELSE 'headline-' || {_slug("first_title")} END AS canonical_topic_id, CASE WHEN first_ord % 3 = 0 THEN 'seed' ELSE 'rules' END AS model, 'accepted' AS review_status FROM firsts""",
+}
