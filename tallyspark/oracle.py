@@ -262,3 +262,10 @@ ORACLE_SQL |= {
       SELECT s.obs_id, CASE WHEN r.topic IS NULL THEN s.topic_id ELSE r.topic END AS topic_id, coalesce(r.label, s.topic_label) AS topic_label, s.compatibility, r.topic IS NOT NULL AS applied FROM seen s LEFT JOIN records r ON s.candidate AND s.question_fingerprint = r.question_fingerprint""",
     "enrichment_batch": f"""WITH {_SEEN} SELECT question_fingerprint, first_source AS source_id, CASE WHEN first_ord % 6 = 0 THEN '/api/v1/topics/' || first_title WHEN first_ord % 3 = 0 THEN '' ELSE 'headline-' || {_slug("first_title")} END AS canonical_topic_id, CASE WHEN first_ord % 3 = 0 THEN 'seed' ELSE 'rules' END AS model, 'accepted' AS review_status FROM firsts""",
 }
+#: Intents of the wordings that no rule matches, by hand: support or oppose (9 to 12), awareness (13, 14), favorability (15).
+ORACLE_SQL["similar_question_pairs"] = f"""
+    WITH {_SEEN}, n AS (SELECT CASE WHEN n <= 12 THEN 1 WHEN n <= 14 THEN 2 ELSE 3 END AS intent, signature, string_split(signature, ' ') AS f, min(obs_ord) AS node FROM seen WHERE candidate GROUP BY 1, 2),
+      j AS (SELECT a.node AS "left", b.node AS "right", a.f AS a, b.f AS b, len(list_intersect(a.f, b.f)) AS shared, jaro_winkler_similarity(a.signature, b.signature) AS fuzzy FROM n a JOIN n b ON a.intent = b.intent AND a.node < b.node),
+      k AS (SELECT *, shared / (len(a) + len(b) - shared) AS jaccard, shared / least(len(a), len(b)) AS containment FROM j WHERE shared > 0 AND NOT (least(len(a), len(b)) <= 2 AND shared = least(len(a), len(b)))),
+      x AS (SELECT *, CASE WHEN shared >= 2 AND (jaccard >= 0.25 OR containment >= 0.5 OR fuzzy >= 0.86) THEN greatest(jaccard, 0.8 * containment, 0.65 * fuzzy) WHEN shared = 1 AND fuzzy >= 0.92 THEN 0.55 * fuzzy END AS score FROM k)
+    SELECT "left", "right", round(score + 3e-7, 3) AS score FROM x WHERE score IS NOT NULL"""
