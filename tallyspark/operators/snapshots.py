@@ -15,7 +15,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from .keyed_store import END, names_below, place_of
+from .keyed_store import END, _names as names_below, place_of
 from .polls import FRESH_SECONDS
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
