@@ -11,6 +11,11 @@ language, whatever their length, and at most `bytes_per_doc` bytes of each, take
 same ones in each run. Contexts of three and more bytes with a single observation are pruned. Every whole text is
 scored, a very long one in blocks of `BLOCK` bytes that begin with the bytes before them as context.
 
+The counts stay in a written table. The driver and the workers hold the tables of one group of languages at a time,
+of at most `CELLS` numbers, whatever the number of languages; a single language has at most as many grams as its sample
+has bytes. Few languages are one group and one pass without a shuffle. With more groups the rows are written once with
+numbers, every group's tables score all of them, and each row's shortest code is an aggregate over the groups.
+
 Defined results: `und` and score 0 for a null text, a text without a letter, and where nothing could be learned; null
 ids and null languages are never learned from; repeated rows are scored each; columns named like an output column are
 replaced; an empty table gives an empty table.
@@ -18,18 +23,23 @@ replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import bounded_sample, crc_mod, map_texts, slices
+from .common import bounded_sample, crc_mod, fresh_name, map_texts, materialize, slices
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at once in a worker.
 BLOCK = 1 << 20
+#: Numbers, grams times languages, that the tables of a group of languages have at most, if it is more than one language.
+CELLS = 1 << 25
 
 
 def gram_codes(data: np.ndarray, length: int) -> np.ndarray:
@@ -148,9 +158,9 @@ class PpmModel:
             out += self._by_byte(gram_codes(data, self.order + 1)[before:], place[before:]).sum(0, dtype=np.float64)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and its share among 2 ** -bits of all languages."""
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def shortest(self, texts: list[str | None]) -> tuple[list[str | None], list[float | None], list[float | None]]:
+        """Language with the shortest code, its bits, and the sum of 2 ** -(bits more than these); None where no language can be told."""
+        names, least, sums = [None] * len(texts), [None] * len(texts), [None] * len(texts)
         todo = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
         at = 0
         while at < len(todo):
@@ -162,10 +172,41 @@ class PpmModel:
                 at += 1
             bits = self.bits([raw for _, raw in part]) if len(part) > 1 else self.long_bits(part[0][1])[None]
             best = bits.argmin(1)
-            share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-            for (i, _), b, s in zip(part, best, share):
-                names[i], scores[i] = self.languages[b], float(s)
-        return names, scores
+            total = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
+            for (i, _), b, own, s in zip(part, best, bits.min(1), total):
+                names[i], least[i], sums[i] = self.languages[b], float(own), float(s)
+        return names, least, sums
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and its share among 2 ** -bits of all languages."""
+        names, _, sums = self.shortest(texts)
+        return [n or UNKNOWN for n in names], [1 / s if s else 0.0 for s in sums]
+
+
+def language_groups(sizes: list[tuple[str, int]], cells: int) -> list[list[str]]:
+    """Languages (with their numbers of grams, in order) in groups of at most so many grams times languages each."""
+    groups: list[list[str]] = []
+    grams = 0
+    for name, size in sizes:
+        if groups and (grams + size) * (len(groups[-1]) + 1) <= cells:
+            groups[-1].append(name)
+            grams += size
+        else:
+            groups.append([name])
+            grams = size
+    return groups
+
+
+class Trees(NamedTuple):
+    """The trees of all languages: a written table of counts, and the groups whose tables are made of it one at a time."""
+
+    counts: DataFrame
+    groups: list[list[str]]
+    order: int
+
+    def model(self, group: list[str]) -> PpmModel:
+        own = self.counts if len(self.groups) <= 1 else self.counts.where(F.col("language").isin(group))
+        return PpmModel(own.toArrow().to_pandas(), group, self.order)
 
 
 def drawn(raw: bytes, most: int, parts: int = 8) -> list[bytes]:
@@ -200,26 +241,53 @@ def gram_counts(df: DataFrame, order: int, text_col: str, lang_col: str, bytes_p
     return parts.groupBy("language", "length", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, docs_per_language: int = 400, bytes_per_doc: int = 8192) -> PpmModel:
-    """Fit the trees on the bounded sample; df holds the rows that may be learned from."""
+def learn_languages(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = 4, docs_per_language: int = 400, bytes_per_doc: int = 8192, cells: int | None = None) -> Trees:
+    """Count the trees on the bounded sample; df holds the rows that may be learned from."""
     usable = df.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & F.col(text_col).rlike(r"\p{L}"))
     sample = bounded_sample(usable, id_col, docs_per_language, seed=10, within=lang_col)
-    counts = gram_counts(sample, order, text_col, lang_col, bytes_per_doc).where("length <= 2 or n >= 2").toPandas()
-    return PpmModel(counts, sorted(counts["language"].unique()), order)
+    counts = gram_counts(sample, order, text_col, lang_col, bytes_per_doc).where("length <= 2 or n >= 2").sortWithinPartitions("language")
+    written = materialize(counts, "language-grams")
+    sizes = [(r["language"], r["count"]) for r in written.groupBy("language").count().collect()]  # one row a language
+    return Trees(written, language_groups(sorted(sizes), cells or CELLS), order)
 
 
-def identify_language(df: DataFrame, model: PpmModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def identify_language(df: DataFrame, trees: Trees, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its score to every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    spark = df.sparkSession
+    if len(trees.groups) <= 1:
+        shared = spark.sparkContext.broadcast(trees.model(trees.groups[0] if trees.groups else []))
+
+        def make():
+            return lambda texts: list(shared.value.predict(texts))
+
+        return map_texts(df, text_col, [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], make)
+    row, codes, best = fresh_name(df, "_row"), fresh_name(df, "_codes"), fresh_name(df, "_best")
+    kept = [c for c in df.columns if c not in (lang_out, score_out) or c == text_col]
+    rows = materialize(df.select(*kept, F.monotonically_increasing_id().alias(row)), "language-rows")
+    texts = rows.select(row, F.col(text_col).alias("text"))
+    parts = [materialize(_shortest_codes(texts, row, trees.model(group)), "language-codes") for group in trees.groups]
+    # a text has one code a group at most
+    code = F.struct(F.col("bits"), F.col("name"), F.col("total"))
+    every = reduce(DataFrame.unionAll, parts).groupBy(row).agg(F.collect_list(code).alias(codes)).withColumn(best, F.array_min(codes))
+    total = F.aggregate(codes, F.lit(0.0), lambda s, c: s + c["total"] * F.pow(F.lit(2.0), -F.least(c["bits"] - F.col(best)["bits"], F.lit(1000.0))))
+    told = every.select(row, F.col(best)["name"].alias(lang_out), (1 / total).alias(score_out))
+    out = rows.select(row, *[c for c in kept if c not in (lang_out, score_out)]).join(told, row, "left").drop(row)
+    return out.withColumns({lang_out: F.coalesce(lang_out, F.lit(UNKNOWN)), score_out: F.coalesce(score_out, F.lit(0.0))})
+
+
+def _shortest_codes(texts: DataFrame, row: str, model: PpmModel) -> DataFrame:
+    """Number of each text that has a letter, and the shortest of its codes under the model's languages."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    fields = [T.StructField("name", T.StringType()), T.StructField("bits", T.DoubleType()), T.StructField("total", T.DoubleType())]
 
     def make():
-        return lambda texts: list(shared.value.predict(texts))
+        return lambda part: list(shared.value.shortest(part))
 
-    return map_texts(df, text_col, [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())], make)
+    return map_texts(texts, "text", fields, make).drop("text").where("name is not null")
 
 
 def predict_held_out(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Learn from the rows that are not held out, and predict all: id, held_out, lang_pred, score."""
     marked = df.select(id_col, text_col, lang_col, (crc_mod(id_col) == 0).alias("held_out"))
-    model = learn_languages(marked.where("not held_out"), text_col, lang_col, id_col)
-    return identify_language(marked.select(id_col, "held_out", text_col), model, text_col).drop(text_col)
+    trees = learn_languages(marked.where("not held_out"), text_col, lang_col, id_col)
+    return identify_language(marked.select(id_col, "held_out", text_col), trees, text_col).drop(text_col)
