@@ -15,11 +15,14 @@ from tallyspark.llm.queries import ORACLE_SQL, QUERIES
 
 def test_queries_equal_their_sql(spark, sf_dir):
     con = duckdb.connect()
-    for table in ("pages", "documents"):
+    for table in ("pages", "documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     for name, sql in ORACLE_SQL.items():
-        rows = [tuple(r) for r in QUERIES[name](spark, sf_dir).collect()]
-        own = con.execute(sql).fetchall()
+        found, own = QUERIES[name](spark, sf_dir), con.sql(sql)
+        columns = sorted(found.columns)
+        assert columns == sorted(own.columns), name
+        rows = [tuple(r) for r in found.select(*columns).collect()]
+        own = own.select(*columns).fetchall()
         assert sorted(map(repr, rows)) == sorted(map(repr, own)), name
 
 
