@@ -2,7 +2,8 @@
 
 Everything is a DataFrame expression or a model of pyspark.ml, which runs in the JVM. The trees learn from labelled
 URLs: length, depth, digit ratio, character entropy, number of parameters and the like, and for the last one, two and
-three labels of the host how often URLs with them are blocked. These rates are counted over all labelled URLs. For the
+three labels of the host how often URLs with them are blocked; so for the first part of the path, by its hash in `LEADS`
+buckets, which bounds the table whatever the paths are. These rates are counted over all labelled URLs. For the
 rows that the trees learn from they come from the other hosts only (`FOLDS` folds of hosts), as a rate that a row is
 part of tells its label; and in one fold they count as unseen, so that the trees also learn to judge URLs of unknown
 suffixes. The labelled URLs of the query are those that a rule decides. The trees are grown on a bounded sample of
@@ -28,9 +29,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host/path) rules of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "escapes", "longest_part", "has_fragment", "has_scheme_s")
-#: Levels of suffixes: column and number of labels.
-LEVELS = (("suffix", 1), ("domain", 2), ("site", 3))
-SUFFIX = tuple(f"{level}_{what}" for level, _ in LEVELS for what in ("rate", "seen"))
+#: Levels of suffixes, by number of labels.
+SUFFIXES = {"suffix": 1, "domain": 2, "site": 3}
+#: Columns that have rates, and buckets of first parts of paths.
+LEVELS, LEADS = (*SUFFIXES, "lead"), 1 << 16
+RATES = tuple(f"{level}_{what}" for level in LEVELS for what in ("rate", "seen"))
 FOLDS, SENT = 5, 200_000
 
 
@@ -56,6 +59,13 @@ def count_of(text: Column, what: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
 
 
+def level_of(level: str) -> Column:
+    """A suffix of the host, or the bucket of the path's first part."""
+    if level in SUFFIXES:
+        return F.substring_index("host", ".", -SUFFIXES[level])
+    return F.pmod(F.xxhash64(F.lit(43), F.regexp_extract("path", "^/([^/]*)", 1)), F.lit(LEADS))
+
+
 def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Add the LEXICAL columns and those of LEVELS; df has host and path."""
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -79,28 +89,28 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "has_fragment": url.contains("#").cast("int"),
         "has_scheme_s": url.startswith("https:").cast("int"),
     }
-    return df.withColumns({k: v.cast("double") for k, v in values.items()}).withColumns({level: F.substring_index("host", ".", -n) for level, n in LEVELS})
+    return df.withColumns({k: v.cast("double") for k, v in values.items()}).withColumns({level: level_of(level) for level in LEVELS})
 
 
 def fold_of(host: Column) -> Column:
     return F.pmod(F.xxhash64(host, F.lit(41)), F.lit(FOLDS))
 
 
-def suffix_counts(known: DataFrame, level: str, n: int) -> DataFrame:
-    """URLs and blocked URLs of each fold, by suffix; known: host and label. Summed up before the shuffle."""
-    own = known.select(F.substring_index("host", ".", -n).alias(level), fold_of(F.col("host")).alias("fold"), "label")
+def level_counts(known: DataFrame, level: str) -> DataFrame:
+    """URLs and blocked URLs of each fold, by level; known: host, path and label. Summed up before the shuffle."""
+    own = known.select(level_of(level).alias(level), fold_of(F.col("host")).alias("fold"), "label")
     of_fold = lambda k, what: F.sum(F.when(F.col("fold") == k, what).otherwise(0.0))
     counted = own.groupBy(level).agg(F.array(*[of_fold(k, F.lit(1.0)) for k in range(FOLDS)]).alias(f"{level}_n"), F.array(*[of_fold(k, F.col("label")) for k in range(FOLDS)]).alias(f"{level}_blocked"))
     return materialize(counted, f"rates-{level}")
 
 
 def with_rates(df: DataFrame, tables: list[DataFrame], learning: bool) -> DataFrame:
-    """Add the SUFFIX columns: smoothed share of blocked URLs and log number of URLs; df has host and the columns of LEVELS.
+    """Add the RATES columns: smoothed share of blocked URLs and log number of URLs; df has host and the columns of LEVELS.
 
-    learning: without the row's own fold, and for hosts of fold 0 as if their suffixes were unseen.
+    learning: without the row's own fold, and for hosts of fold 0 as if all levels were unseen.
     """
     fold = fold_of(F.col("host"))
-    for (level, _), counts in zip(LEVELS, tables):
+    for level, counts in zip(LEVELS, tables):
         df = df.join(F.broadcast(counts) if counts.count() <= SENT else counts, level, "left")
 
         def total(name: str, level: str = level) -> Column:
@@ -115,7 +125,7 @@ def with_rates(df: DataFrame, tables: list[DataFrame], learning: bool) -> DataFr
 
 
 class UrlModel:
-    """Boosted trees over lexical features and suffix rates, or the only kind of label there is."""
+    """Boosted trees over lexical features and rates of suffixes and first parts of paths, or the only kind of label there is."""
 
     def __init__(self, known: DataFrame, url_col: str, sample_rows: int, trees: int, depth: int) -> None:
         """known: url, host, path and label (1: block)."""
@@ -123,9 +133,9 @@ class UrlModel:
         self.only = None if len(kinds) > 1 else kinds[0] if kinds else 0.0
         self.url_col = url_col
         if self.only is None:
-            self.tables = [suffix_counts(known, level, n) for level, n in LEVELS]
+            self.tables = [level_counts(known, level) for level in LEVELS]
             sample = materialize(bounded_sample(known.select(url_col, "host", "path", "label"), url_col, sample_rows, seed=30), "url-sample")
-            self.vector = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="_vector")
+            self.vector = VectorAssembler(inputCols=[*LEXICAL, *RATES], outputCol="_vector")
             learned = self.vector.transform(with_rates(with_features(sample, url_col), self.tables, learning=True)).select("_vector", "label")
             learned = materialize(learned, "url-features").coalesce(4).cache()
             self.trees = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(learned)
