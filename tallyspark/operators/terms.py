@@ -80,8 +80,20 @@ def with_terms(tokens: DataFrame) -> DataFrame:
     return looked_up.unionByName(tokens_left.join(known_left, "token"))
 
 
+def first_by_key(placed: Column) -> Column:
+    """Terms in the order of their places, the first of each key; placed: key, _at, label. Sorted, so that a long text is not compared pair by pair."""
+    first = bind(F.sort_array(placed), lambda p: F.filter(p, lambda t, i: F.coalesce(F.get(p, i - 1)["key"] != t["key"], F.lit(True))))
+    in_order = F.sort_array(F.transform(first, lambda t: F.struct(t["_at"].alias("at"), t["key"].alias("key"), t["label"].alias("label"))))
+    return F.transform(in_order, lambda t: F.struct(t["key"].alias("key"), t["label"].alias("label")))
+
+
+def _of_other_keys(terms: Column, given: Column) -> Column:
+    """The terms whose keys are not among those of a few given ones."""
+    return bind(F.transform(given, lambda u: u["key"]), lambda keys: F.filter(terms, lambda t: ~F.array_contains(keys, t["key"])))
+
+
 def distinct_by_key(terms: Column) -> Column:
-    """The first term of each key."""
+    """The first term of each key, of few terms."""
     return bind(terms, lambda all_terms: F.filter(all_terms, lambda t, i: F.array_position(F.transform(all_terms, lambda u: u["key"]), t["key"]) == i + 1))
 
 
@@ -90,18 +102,18 @@ def extract_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = lambda focus: F.struct(search_text(F.coalesce(battery_item(focus), focus)).alias("search"), intent_of(search_text(focus)).alias("intent"))
     texts = materialize(df.select(id_col, bind(clean_generic(F.col(text_col)), parts).alias("_p")).select(id_col, F.col("_p.search").alias("_search"), F.col("_p.intent").alias("intent")), "search-texts")
     tokens = texts.select(id_col, F.posexplode(F.array_distinct(salient_tokens(F.col("_search")))).alias("_at", "token"))
-    named = with_terms(tokens).groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "key", "label"))), lambda t: F.struct(t["key"].alias("key"), t["label"].alias("label"))).alias("_own"))
+    named = with_terms(tokens).groupBy(id_col).agg(first_by_key(F.collect_list(F.struct("key", "_at", "label"))).alias("_own"))
     joined = texts.join(named, id_col, "left")
     none = F.array().cast("array<struct<key:string,label:string>>")
-    joined = joined.withColumn("_terms", distinct_by_key(F.concat(phrase_terms(F.col("_search")), F.coalesce("_own", none))))
+    joined = joined.withColumn("_terms", bind(distinct_by_key(phrase_terms(F.col("_search"))), lambda p: F.concat(p, _of_other_keys(F.coalesce("_own", none), p))))
     label = F.replace(F.col("intent"), F.lit("-"), F.lit(" "))
     for name, own in INTENT_LABELS.items():
         label = F.when(F.col("intent") == name, own).otherwise(label)
     with_intent = F.concat("_terms", F.array(F.struct(F.col("intent").alias("key"), label.alias("label"))))
     terms = F.when((F.size("_terms") == 1) & F.col("intent").isNotNull(), distinct_by_key(with_intent)).otherwise(F.col("_terms"))
-    out = joined.select(id_col, terms.alias("terms"), "intent").where(F.size("terms") >= MIN_TERMS)
-    featured = out.withColumn("features", F.array_sort(F.transform("terms", lambda t: t["key"])))
-    return materialize(featured.withColumn("signature", F.array_join("features", " ")), "terms")
+    featured = joined.select(id_col, terms.alias("terms"), "intent").withColumn("features", F.array_sort(F.transform("terms", lambda t: t["key"])))
+    # texts with too few terms are left out where the table is read: before, the filter would make all terms once more
+    return materialize(featured.withColumn("signature", F.array_join("features", " ")), "terms").where(F.size("terms") >= MIN_TERMS)
 
 
 def title_term(label: Column) -> Column:
