@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -17,6 +17,8 @@ RESPONDENTS = "Respondents"
 QUESTION = r"^[A-Z][A-Za-z0-9_-]{0,24}\. \S|^[0-9]{1,3}[A-Za-z]?\. \S"
 CONTENTS = r"\.\s*\.\s*\."
 SIZE = r"\(?N\s*=\s*([0-9,]+)\)?"
+#: Cells that a worker holds before it hands them on; one document's cells stay together.
+CELLS_AT_ONCE = 10_000
 LOOK_AHEAD, SIZE_WITHIN, LABEL_LINES, TEMPLATE_WITHIN = 24, 12, 4, 20
 #: Titles, and fixed lines of page furniture, of the layout with fixed templates.
 NUMBERED, DOCUMENT_TITLE, SAMPLE = r"[0-9]+[A-Z]?\. ", "The Economist/YouGov Poll", "U.S. Adult Citizens"
@@ -222,6 +224,19 @@ def parse_by_templates(lines: list[str]) -> list[tuple]:
     return document.cells
 
 
+def cell_frames(batches: Iterable[pd.DataFrame], parse: Callable, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Cells of documents, some CELLS_AT_ONCE at a time, whatever the size of a batch of documents."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            lines = [" ".join(_without_banners(x).split()) for x in (text or "").split("\n")]
+            rows += [(doc_id, *r) for r in parse(lines)]
+            if len(rows) >= CELLS_AT_ONCE:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+    yield pd.DataFrame(rows, columns=names)
+
+
 def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
     """Cells of the questions in each document, with doc_id as it comes; a document is parsed on its own, so that nothing is shuffled.
 
@@ -230,15 +245,8 @@ def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
     parse: Callable = {"headers": parse_by_headers, "templates": parse_by_templates}[layout]
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(CELLS).fields])
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                lines = [" ".join(_without_banners(x).split()) for x in (text or "").split("\n")]
-                rows += [(doc_id, *r) for r in parse(lines)]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    names = schema.names
+    return docs.select("doc_id", "text").mapInPandas(lambda batches: cell_frames(batches, parse, names), schema)
 
 
 def document_header(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
