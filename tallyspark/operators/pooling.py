@@ -64,13 +64,13 @@ def panel_cells(structures: DataFrame, keys: Sequence[str] = STRUCTURE) -> DataF
 
 def chart_cells(structures: DataFrame, keys: Sequence[str] = STRUCTURE) -> DataFrame:
     """Cells of bar, pie and line charts, all of the demographic "Total": a line gives its last value."""
+    point = lambda label, value, given=F.lit(True): F.struct(label.alias("label"), value.alias("value"), given.alias("given"))
+    bars = F.slice(F.zip_with("x", "y", lambda label, value: point(label, value)), F.lit(1), F.least(F.size("x"), F.size("y")))
+    lines = F.transform("series", lambda s: point(s["label"], F.try_element_at(s["values"], F.lit(-1)), F.size(s["values"]) > 0))
+    points = F.when(F.col("type") == "BarGraph", bars).when(F.col("type") == "PieChart", F.transform("slices", lambda p: point(p["label"], p["value"]))).when(F.col("type") == "LineGraph", lines)
+    placed = structures.select(*keys, F.posexplode(points).alias("row_idx", "p")).where("p.given")
     total = [F.lit(0).alias("col_idx"), F.lit("Total").alias("column_label"), F.lit(None).cast("string").alias("group_title")]
-    bars = structures.where("type = 'BarGraph'").select(*keys, F.posexplode(F.arrays_zip(F.col("x").alias("label"), F.col("y").alias("value"))).alias("row_idx", "p"), F.least(F.size("x"), F.size("y")).alias("_n")).where("row_idx < _n")
-    pies = structures.where("type = 'PieChart'").select(*keys, F.posexplode("slices").alias("row_idx", "p"))
-    lines = structures.where("type = 'LineGraph'").select(*keys, F.posexplode("series").alias("row_idx", "s")).where("size(s.values) > 0")
-    pick = lambda df: df.select(*keys, F.lit(0).alias("panel_idx"), "row_idx", F.col("p.label").alias("row_label"), *total, F.col("p.value").alias("value"))
-    last = lines.select(*keys, F.lit(0).alias("panel_idx"), "row_idx", F.col("s.label").alias("row_label"), *total, F.element_at("s.values", -1).alias("value"))
-    return pick(bars).unionByName(pick(pies)).unionByName(last)
+    return placed.select(*keys, F.lit(0).alias("panel_idx"), "row_idx", F.col("p.label").alias("row_label"), *total, F.col("p.value").alias("value"))
 
 
 def roll_up(cells: DataFrame, keys: Sequence[str], topic_col: str = "topic_id") -> DataFrame:

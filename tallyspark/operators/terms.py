@@ -14,6 +14,8 @@ from ..functions.text import bind, search_text, title_words
 MIN_TERMS, MAX_LABEL_TERMS = 2, 5
 #: Tokens that are looked up in tasks, the most frequent first, and the longest of them: what is sent has 50 MB at most.
 LOOKED_UP, LONGEST = 100_000, 160
+#: Wordings up to which their terms are sent to all tasks.
+MOST_WORDINGS = 10_000
 #: key, label and the words that mean it.
 ALIASES = (
     ("ai", "AI", "ai"), ("covid", "COVID", "covid19 covid coronavirus"), ("sports", "sports", "sport sports"), ("price", "price", "price prices pricing cost costs"),
@@ -116,6 +118,14 @@ def extract_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(featured.withColumn("signature", F.array_join("features", " ")), "terms").where(F.size("terms") >= MIN_TERMS)
 
 
+def wording_terms(df: DataFrame, id_col: str) -> DataFrame:
+    """extract_terms() of wordings (_text), which many polls ask again: each is read once, and its terms are joined to those who ask it."""
+    wordings = materialize(df.where(F.col("_text").isNotNull()).select("_text").distinct(), "wordings")
+    found = extract_terms(wordings, "_text", "_text")
+    few = F.broadcast(found) if wordings.count() <= MOST_WORDINGS else found
+    return df.join(few, "_text").drop("_text")
+
+
 def title_term(label: Column) -> Column:
     return F.when(label.isin("AI", "COVID", "U.S."), label).otherwise(title_words(label))
 
@@ -133,7 +143,7 @@ def headline_candidates(df: DataFrame, id_col: str = "obs_id") -> DataFrame:
     text = F.concat_ws(" ", "title", "prompt")
     helper = (F.col("source_id") == "ipsos") & F.lower(text).rlike(r"approval5_[12]\.")
     rest = df.where(F.col("topic_id").isNull() & ~helper).select(id_col, text.alias("_text"))
-    found = extract_terms(rest, id_col, "_text")
+    found = wording_terms(rest, id_col)
     return found.select(id_col, F.concat(F.lit("headline-candidate-"), hash8(F.col("signature"))).alias("topic_id"), label_of_terms(F.col("terms")).alias("topic_label"))
 
 
@@ -143,7 +153,7 @@ def observation_terms(df: DataFrame, id_col: str = "obs_id") -> DataFrame:
     df: id, title, prompt, and answer_text (ids and labels of the answers, joined; may be null).
     """
     text = df.select(id_col, question_text(clean_generic(F.col("title")), clean_generic(F.col("prompt"))).alias("_text"))
-    found = extract_terms(text, id_col, "_text")
+    found = wording_terms(text, id_col)
     answered = df.select(id_col, intent_of(search_text(F.col("answer_text"))).alias("_answered"))
     return found.join(answered, id_col).withColumn("intent", F.coalesce("_answered", "intent")).drop("_answered")
 
