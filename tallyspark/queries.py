@@ -273,7 +273,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 def page_assets(spark: SparkSession, sf: str) -> DataFrame:
     """Stubs and assets of articles written around each page's URL."""
     frame = views.table(spark, sf, "pages").select("page_id", F.concat(F.lit("<h2>Poll "), F.col("page_id").cast("string"), F.lit('</h2><a href="/poll/'), F.col("page_id").cast("string"), F.lit('">read</a><span>April 28, 2026</span><iframe data-src="https://datawrapper.dwcdn.net/'), F.col("page_id").cast("string"), F.lit('/"></iframe><a href="/a.pdf?x=1">pdf</a>'), "html").alias("html"))
-    found = pages.elements(frame)
+    found = materialize(pages.elements(frame), "page-elements")  # two readers
     stubs = pages.release_stubs(found, "https://polls.example.com", "/poll/").select("page_id", F.lit("stub").alias("kind"), "title", F.col("article_url").alias("url"))
     assets = pages.page_assets(found, "https://polls.example.com").select("page_id", "kind", "title", "url")
     return stubs.unionByName(assets)
