@@ -195,3 +195,23 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", decoded
         return run
 
     return map_texts(df, ids_col, [T.StructField(decoded_col, T.StringType())], make)
+
+
+def bpe_round_trip(df: DataFrame, tokenizer_path: str, keep: list[str], text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", same_col: str = "round_trip") -> DataFrame:
+    """The columns `keep` with the token ids of a text column, their number, and whether they decode to the text again.
+
+    Both ways are one pass, so that a task has one worker and one tokenizer, and texts are not sent back.
+    """
+
+    def make():
+        bpe = tokenizer(tokenizer_path)
+
+        def run(texts: list) -> list[list]:
+            ids = [bpe.encode(t) if t else b"" for t in texts]
+            same = [(bpe.decode(i) if i else "") == (t or "") for i, t in zip(ids, texts)]
+            return [ids, [len(i) // 4 for i in ids], same]
+
+        return run
+
+    fields = [T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType()), T.StructField(same_col, T.BooleanType())]
+    return map_texts(df, text_col, fields, make, keep=keep)
