@@ -1,14 +1,18 @@
 """Near copies by Jaccard similarity of five-word shingles: `LEAST` or more is a near copy. For the pipeline.
 
-Texts with equal words are one node. The smallest values of a node's shingles under `BANDS` x `ROWS` hash functions
-give one key a band; two nodes of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS, which is over
-0.99999 at 0.8. Only nodes that share a key are compared, by their whole sets of shingles, so that no link is wrong.
+Texts with equal words are one node. SimHash comes first: nodes whose fingerprints are within two bits, found by the
+generalised pigeonhole search of `simhash.py`, are compared by their whole sets of shingles, so that no link is wrong.
+
+Near copies of 0.8 differ by some 10 of 64 bits, so what SimHash leaves apart is searched further. The smallest values
+of a node's shingles under `BANDS` x `ROWS` hash functions give one key a band; two nodes of similarity s share a key
+with probability 1 - (1 - s**ROWS)**BANDS, which is over 0.99999 at 0.8. Nodes that share a key and are still in
+different components are compared.
 
 Buckets have no limit and are not compared pair by pair. Each node is compared with the first node that it shares most
 keys with, and then, where a bucket still holds several components, with two nodes of its largest one. What is still
 apart after that takes an exact way: of the texts of such buckets all pairs in different components are compared that
 can be similar by their rarest shingles (prefix and position filters). What is left out is within a component already
-or can't be similar, so that the components are those of all pairs that share a key.
+or can't be similar, so that the components are those of all pairs that are within two bits or share a key.
 
 Defined results: words are split at ASCII white space, ASCII letters count as lower case; a text of fewer than five
 words is one shingle; texts without words (or null) are copies of each other; a null id gets its group's smallest id,
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..operators.graph import connected_components
 from .common import discard, fresh_name, hashed_words, map_texts, materialize, slices
+from .simhash import fingerprint, near_links
 
 WORDS, BANDS, ROWS = 5, 24, 4
 #: Similarity of near copies, as a fraction of whole numbers.
@@ -68,7 +73,7 @@ def node_of(words: np.ndarray) -> int:
 
 
 def sketch(texts: pa.Array) -> list[list]:
-    """Node, number of different shingles, and band keys of each text."""
+    """Node, number of different shingles, band keys and SimHash fingerprint of each text."""
     words, begin = hashed_words(texts)
     nodes, sizes, bands = [], [], []
     for i in range(len(texts)):
@@ -77,12 +82,12 @@ def sketch(texts: pa.Array) -> list[list]:
         nodes.append(node_of(own))
         sizes.append(len(hashes))
         bands.append(band_keys(hashes) if len(own) else [])
-    return [nodes, sizes, bands]
+    return [nodes, sizes, bands, [fingerprint(t.as_py()) for t in texts]]
 
 
 def sketches(df: DataFrame, text_col: str) -> DataFrame:
-    """Add node (long), n_shingles and bands."""
-    fields = [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    """Add node (long), n_shingles, bands and fingerprint (long)."""
+    fields = [T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fingerprint", T.LongType())]
     return map_texts(df, text_col, fields, lambda: sketch, arrow=True)
 
 
@@ -125,25 +130,46 @@ def near_sizes(one: str, other: str):
     return F.least(one, other) * LEAST[1] >= F.greatest(one, other) * LEAST[0]
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes within two bits that connect all such nodes of near sizes; nodes: node, n, fingerprint.
+
+    The nodes of a fingerprint are paired with the first of them, and the first ones of fingerprints within two bits.
+    """
+    firsts = materialize(nodes.groupBy("fingerprint").agg(F.min(F.struct("node", "n")).alias("first")), "similar-prints")
+    same = nodes.join(firsts, "fingerprint").where(F.col("node") != F.col("first.node")).where(near_sizes("n", "first.n"))
+    near = near_links(firsts.select(F.col("fingerprint").alias("node")))
+    of = lambda name: firsts.select(F.col("fingerprint").alias(name), F.col("first").alias(f"first_{name}"))
+    across = near.distinct().join(of("a"), "a").join(of("b"), "b").where(near_sizes("first_a.n", "first_b.n"))
+    return pair_of(same, "node", "first.node").unionByName(pair_of(across, "first_a.node", "first_b.node")).distinct()
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text_key (hash of the text), node, root (a node: the same for all rows of a component) and component id of every row."""
     keyed = df.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("text_key"))
     rows = materialize(sketches(keyed, text_col).drop(text_col), "sketches")
-    nodes = rows.groupBy("node").agg(F.min(id_col).alias("rank"), F.min("text_key").alias("text_key"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min(id_col).alias("rank"), F.min("text_key").alias("text_key"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("fingerprint").alias("fingerprint"))
     nodes = materialize(nodes, "similar-nodes")
+    compared = materialize(simhash_pairs(nodes.select("node", "n", "fingerprint")), "similar-pairs")
     dealt = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = dealt.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = materialize(dealt.join(buckets, "key"), "similar-buckets")
-    shared = members.select("node").distinct().join(nodes, "node").select("node", "text_key")
+    met = members.select("node").unionByName(compared.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    shared = met.join(nodes, "node").select("node", "text_key")
     texts = keyed.select("text_key", F.col(text_col).alias("text")).join(shared.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
     texts = materialize(texts.join(shared, "text_key").select("node", "text"), "similar-texts")
     ranks = nodes.select("node", "rank")
 
-    # each node with the first node that it shares most keys with
+    # nodes within two bits
+    links = materialize(verified(compared, texts), "similar-links")
+    roots = materialize(all_roots(ranks, links), "similar-roots")
+    # then each node with the first node that it shares most keys with, unless the two are together already
     stars = members.where(F.col("node") != F.col("first.node")).where(near_sizes("n", "first.n"))
     best = stars.groupBy("node", F.col("first.node").alias("hub")).count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("_m"))
-    compared = materialize(pair_of(best, "node", "_m.hub"), "similar-pairs")
-    links = materialize(verified(compared, texts), "similar-links")
+    best = best.select("node", F.col("_m.hub").alias("hub")).join(roots.select("node", "root"), "node")
+    best = best.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub").where("root != hub_root")
+    pairs = materialize(pair_of(best, "node", "hub").distinct().join(compared, ["a", "b"], "left_anti"), "similar-pairs")
+    more = materialize(verified(pairs, texts), "similar-links")
+    compared, links = compared.unionByName(pairs), links.unionByName(more)
     roots = materialize(all_roots(ranks, links), "similar-roots")
     # then those of a bucket that are not in its largest component with two nodes of that
     for pick in (F.min, F.max):
