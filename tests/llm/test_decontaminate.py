@@ -156,3 +156,28 @@ def test_common_windows_count_where_a_pair_shares_another(spark, monkeypatch):
     assert [r for r in found if r[1] < 6] == [r for r in rows(100) if r[1] < 6]
     assert {(d, i) for d, i, *_ in found} == {(1, 1), (2, 2), (3, 3)}
     assert {d: n for d, _, n, _ in found}[1] > {d: n for d, _, n, _ in found}[2] + 12
+
+
+def test_many_versions_of_one_template_find_another_one(spark):
+    """Forty versions of an item: windows by templates that all of them hold still are a measure; so is a passage in capitals of items that differ in capitals."""
+    versions = [ITEM.replace("5", str(10 + k)) for k in range(40)]
+    assert {(d, i) for d, i, _ in pairs_of(spark, [ITEM.replace("5", "77"), "clean"], versions)} == {(0, k) for k in range(40)}
+    words = LONG.split()
+    cased = [" ".join(w.title() if j in (20 + k, 21 + k) else w for j, w in enumerate(words)) for k in range(30)] + [" ".join(w.title() if j in (8, 20 + k) else w for j, w in enumerate(words)) for k in range(10)]
+    assert {(d, i) for d, i, _ in pairs_of(spark, [LONG.upper()], cased)} == {(0, k) for k in range(40)}
+
+
+def test_no_result_depends_on_the_limit_of_common_windows(spark):
+    front = "answer the following multiple choice question by giving the letter of the one right choice only : "
+    own = lambda kind, k, n=20: " ".join(f"{kind}{k}x{j}" for j in range(n))
+    items = [front + own("item", k) for k in range(3)] + [front + f"{7 + k} 2 {29 + k}" for k in range(5)] + [front, front + own("group", 0), front + own("group", 0) + " " + own("tail", 0)]
+    items += [ITEM.replace("5", str(10 + k)) for k in range(5)]
+    texts = [front + own("doc", 0), front + "1 2 3", front + own("item", 1), own("group", 0), ITEM.replace("5", "77"), front[:50], own("group", 0, 14), "clean"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = lambda common: sorted((r["doc_id"], r["item_id"], r["n_matched"], r["n_aligned"], r["coverage"]) for r in decontaminate.contaminated_pairs(docs, bench, common=common).collect())
+    found = rows(100)
+    assert found == rows(1) == rows(3)
+    by_text = {d: {i for x, i, *_ in found if x == d} for d in range(len(texts))}
+    # the front alone is one item's whole text, and no sign of any other; seven windows of two items weigh 7 in the one that has none of its own
+    assert by_text == {0: {8}, 1: {3, 4, 5, 6, 7, 8}, 2: {1, 8}, 3: {9, 10}, 4: {11, 12, 13, 14, 15}, 5: set(), 6: {9}, 7: set()}
