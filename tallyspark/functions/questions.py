@@ -80,7 +80,7 @@ def battery_item(c: Column) -> Column:
     """The item of a list question: what follows the last "?", or a dash after a heading; null if there is none."""
 
     def item(tail: Column) -> Column:
-        fits = lambda low: (F.size(salient_tokens(low)) >= 1) & (F.size(words(low)) <= 10)
+        fits = lambda low: (F.size(words(low)) <= 10) & (F.size(salient_tokens(low)) >= 1)
         bare = F.regexp_replace(tail, r"(?U)^[\s:–—-]+|[\s:–—-]+$", "")
         return bind(bare, lambda b: F.when(bind(search_text(b), fits) & ~b.contains("?"), b))
 

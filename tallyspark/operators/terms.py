@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.hashing import hash8
 from ..functions.questions import battery_item, clean_generic, is_question_code, question_text, salient_tokens, stopwords
 from ..functions.rules import intent_of
-from ..functions.stem import stem_of
+from ..functions.stem import stem, stem_of
 from ..shared import materialize
 from ..functions.text import bind, search_text, title_words
 
 MIN_TERMS, MAX_LABEL_TERMS = 2, 5
 #: Tokens that are looked up in tasks, the most frequent first, and the longest of them: what is sent has 50 MB at most.
 LOOKED_UP, LONGEST = 100_000, 160
+#: Tokens that a worker remembers, and bytes of texts that it reads at once.
+REMEMBERED, AT_ONCE = 400_000, 1 << 22
 #: Wordings up to which their terms are sent to all tasks.
 MOST_WORDINGS = 10_000
 #: key, label and the words that mean it.
@@ -82,11 +89,78 @@ def with_terms(tokens: DataFrame) -> DataFrame:
     return looked_up.unionByName(tokens_left.join(known_left, "token"))
 
 
-def first_by_key(placed: Column) -> Column:
-    """Terms in the order of their places, the first of each key; placed: key, _at, label. Sorted, so that a long text is not compared pair by pair."""
-    first = bind(F.sort_array(placed), lambda p: F.filter(p, lambda t, i: F.coalesce(F.get(p, i - 1)["key"] != t["key"], F.lit(True))))
-    in_order = F.sort_array(F.transform(first, lambda t: F.struct(t["_at"].alias("at"), t["key"].alias("key"), t["label"].alias("label"))))
-    return F.transform(in_order, lambda t: F.struct(t["key"].alias("key"), t["label"].alias("label")))
+class TermsOfTexts:
+    """Terms of search texts, of many at once, in a worker: each token is looked at once, and remembered.
+
+    Tokens are those of salient_tokens(), and their keys and labels those of vocabulary().
+    """
+
+    def __init__(self, stop: tuple[str, ...]) -> None:
+        self.stop = frozenset(stop)
+        self.aliases = {token: (key, label) for key, label, tokens in reversed(ALIASES) for token in tokens.split()}
+        self.known: dict[str, tuple[str, str] | None] = {}
+
+    def _term(self, run: str) -> tuple[str, str] | None:
+        """Key and label of the token in a run of letters and digits, which begins with a letter."""
+        token = run.lstrip("0123456789")
+        if len(token) < 2 or token in self.stop:
+            return None
+        if any(c in "0123456789" for c in token) and (len(token) <= 16 or token.startswith("tm")):
+            return None
+        if token in self.aliases:
+            return self.aliases[token]
+        own = stem(token) if len(token) >= 3 else ""
+        if len(own) < 3 or own in self.stop:
+            return None
+        if token in ("policies", "companies", "countries"):
+            return own, token[:-3] + "y"
+        return own, token[:-1] if len(token) > 4 and token.endswith("s") and not token.endswith("ss") else token
+
+    def _remembered(self, run: str) -> tuple[str, str] | None:
+        if run not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self._term(run)
+            if len(run) > LONGEST:
+                return found
+            self.known[run] = found
+        return self.known[run]
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        """Terms of each text in the order of the text, the first of each key."""
+        runs = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.fill_null(texts, ""), "[^a-z0-9]+", " "))
+        owner = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy(zero_copy_only=False))
+        coded = runs.flatten().dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        terms = [self._remembered(run) for run in coded.dictionary.to_pylist()]
+        keys = pa.array([None if t is None else t[0] for t in terms], pa.string())
+        labels = pa.array([None if t is None else t[1] for t in terms], pa.string())
+        key = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[number]
+        at = np.flatnonzero(key >= 0)
+        first = np.sort(at[np.unique(owner[at] * (len(terms) + 1) + key[at], return_index=True)[1]])
+        begin = np.searchsorted(owner[first], np.arange(len(texts) + 1)).astype(np.int32)
+        of = pa.array(number[first])
+        return pa.ListArray.from_arrays(pa.array(begin), pa.StructArray.from_arrays([keys.take(of), labels.take(of)], names=["key", "label"]))
+
+
+def with_own_terms(texts: DataFrame, text_col: str) -> DataFrame:
+    """texts and _own, the terms of each one's words; each text is read on its own, so that no token is shuffled."""
+    stop = stopwords()
+    schema = T.StructType([*texts.schema.fields, T.StructField("_own", T.ArrayType(T.StructType.fromDDL("key string, label string")))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = TermsOfTexts(stop)
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, terms.of(part.column(place))], names=schema.names)
+                at = to
+
+    return texts.mapInArrow(run, schema)
 
 
 def _of_other_keys(terms: Column, given: Column) -> Column:
@@ -101,19 +175,16 @@ def distinct_by_key(terms: Column) -> Column:
 
 def extract_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, terms (array of key and label), features (sorted keys), signature and intent; texts with under two terms are dropped."""
-    parts = lambda focus: F.struct(search_text(F.coalesce(battery_item(focus), focus)).alias("search"), intent_of(search_text(focus)).alias("intent"))
-    texts = materialize(df.select(id_col, bind(clean_generic(F.col(text_col)), parts).alias("_p")).select(id_col, F.col("_p.search").alias("_search"), F.col("_p.intent").alias("intent")), "search-texts")
-    tokens = texts.select(id_col, F.posexplode(F.array_distinct(salient_tokens(F.col("_search")))).alias("_at", "token"))
-    named = with_terms(tokens).groupBy(id_col).agg(first_by_key(F.collect_list(F.struct("key", "_at", "label"))).alias("_own"))
-    joined = texts.join(named, id_col, "left")
-    none = F.array().cast("array<struct<key:string,label:string>>")
-    joined = joined.withColumn("_terms", bind(distinct_by_key(phrase_terms(F.col("_search"))), lambda p: F.concat(p, _of_other_keys(F.coalesce("_own", none), p))))
+    parts = lambda focus: bind(search_text(focus), lambda low: F.struct(F.coalesce(search_text(battery_item(focus)), low).alias("search"), intent_of(low).alias("intent")))
+    texts = df.select(id_col, bind(clean_generic(F.col(text_col)), parts).alias("_p")).select(id_col, F.col("_p.search").alias("_search"), F.col("_p.intent").alias("intent"))
+    phrases = bind(distinct_by_key(phrase_terms(F.col("_search"))), lambda p: F.concat(p, _of_other_keys(F.col("_own"), p)))
+    joined = with_own_terms(texts, "_search").withColumn("_terms", phrases)
     label = F.replace(F.col("intent"), F.lit("-"), F.lit(" "))
     for name, own in INTENT_LABELS.items():
         label = F.when(F.col("intent") == name, own).otherwise(label)
     with_intent = F.concat("_terms", F.array(F.struct(F.col("intent").alias("key"), label.alias("label"))))
     terms = F.when((F.size("_terms") == 1) & F.col("intent").isNotNull(), distinct_by_key(with_intent)).otherwise(F.col("_terms"))
-    featured = joined.select(id_col, terms.alias("terms"), "intent").withColumn("features", F.array_sort(F.transform("terms", lambda t: t["key"])))
+    featured = joined.select(id_col, terms.alias("terms"), "intent").withColumn("features", F.sort_array(F.transform("terms", lambda t: t["key"])))
     # texts with too few terms are left out where the table is read: before, the filter would make all terms once more
     return materialize(featured.withColumn("signature", F.array_join("features", " ")), "terms").where(F.size("terms") >= MIN_TERMS)
 
