@@ -327,8 +327,9 @@ def topline_panels(spark: SparkSession, sf: str) -> DataFrame:
 
 def topline_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Questions, prompts and panels of documents with page breaks, with the sum of each answer's cells."""
-    cells = toplines.topline_cells(workloads.paged_panel_texts(spark, sf), "templates")
-    return cells.groupBy("doc_id", "question", "prompt", "panel", "row_idx", "row_label").agg(F.count("*").alias("n"), F.min_by("group_title", F.struct((-F.col("col_idx")).alias("c"))).alias("last_group"), r6(F.sum("value")).alias("total"))
+    rows = toplines.topline_rows(workloads.paged_panel_texts(spark, sf), "templates")
+    n, total = F.size("values"), F.aggregate("values", F.lit(0.0), lambda a, b: a + b)
+    return rows.groupBy("doc_id", "question", "prompt", "panel", "row_idx", "row_label").agg(F.sum(n).alias("n"), F.min_by(F.element_at("group_titles", -1), F.struct((-n).alias("c"))).alias("last_group"), r6(F.sum(total)).alias("total"))
 
 
 def topline_fallback(spark: SparkSession, sf: str) -> DataFrame:

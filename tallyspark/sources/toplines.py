@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -17,7 +18,7 @@ RESPONDENTS = "Respondents"
 QUESTION = r"^[A-Z][A-Za-z0-9_-]{0,24}\. \S|^[0-9]{1,3}[A-Za-z]?\. \S"
 CONTENTS = r"\.\s*\.\s*\."
 SIZE = r"\(?N\s*=\s*([0-9,]+)\)?"
-#: Cells that a worker holds before it hands them on; one document's cells stay together.
+#: Cells, or rows of a panel, that a worker holds before it hands them on; one document's stay together.
 CELLS_AT_ONCE = 10_000
 LOOK_AHEAD, SIZE_WITHIN, LABEL_LINES, TEMPLATE_WITHIN = 24, 12, 4, 20
 #: Titles, and fixed lines of page furniture, of the layout with fixed templates.
@@ -27,7 +28,9 @@ TEMPLATES = (
     ("Sex Race Age Education", ("Total", "Male", "Female", "White", "Black", "Hispanic", "18-29", "30-44", "45-64", "65+", "No degree", "College grad"), (("Sex", 2), ("Race", 3), ("Age", 4), ("Education", 2))),
     ("2024 Vote Reg Ideology MAGA Party ID", ("Total", "Harris", "Trump", "Voters", "Lib", "Mod", "Con", "Supporter", "Dem", "Ind", "Rep"), (("2024 Vote", 2), ("Reg", 1), ("Ideology", 3), ("MAGA", 1), ("Party ID", 3))),
 )
-CELLS = "question string, prompt string, panel int, row_idx int, row_label string, col_idx int, column_label string, group_title string, value double"
+ROWS = "question string, prompt string, panel int, row_idx int, row_label string, column_labels array<string>, group_titles array<string>, values array<double>"
+#: The same by header, with the line of column names and the title of each column's group.
+TEMPLATE_OF = {head: (" ".join(columns), columns, (None, *(title for title, n in groups for _ in range(n)))) for head, columns, groups in TEMPLATES}
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,6 +63,7 @@ def line_kind(line: Column) -> Column:
     return F.when(line == "", "blank").when(is_page_number(line), "page").when(is_noise(line), "noise").when(line.rlike(CONTENTS), "contents").when(is_question_title(line), "question").when(line.rlike(f"^{SIZE}$"), "size").when(line.rlike(r"\s(?:[0-9]+%?|\*|-)$"), "row").otherwise("text")
 
 
+@lru_cache(maxsize=100_000)
 def _number(token: str) -> float | None:
     bare = token.strip("%<").replace(",", "")
     if bare.lower() in ("*", "-", "n/a", "") and token:
@@ -106,8 +110,12 @@ def _column_labels(lines: list[str], at: int) -> tuple[list[str], int]:
     return labels, at - len(part)
 
 
-def parse_by_headers(lines: list[str]) -> list[tuple]:
-    """Cells of questions whose column headers carry sample sizes."""
+def cells_of(rows: Iterable[tuple]) -> list[tuple]:
+    return [(*row, c, label, title, value) for *row, labels, titles, values in rows for c, (label, title, value) in enumerate(zip(labels, titles, values))]
+
+
+def rows_by_headers(lines: list[str]) -> list[tuple]:
+    """Rows of questions whose column headers carry sample sizes."""
     out, i = [], 0
     while i < len(lines):
         if _kind(lines[i]) != "question":
@@ -127,7 +135,7 @@ def parse_by_headers(lines: list[str]) -> list[tuple]:
                 found = _row(" ".join(pending), len(labels))
                 if found:
                     if found[0] and found[0].lower() != "total":
-                        out += [(wording, "", 0, row, found[0], c, label, RESPONDENTS, v) for c, (label, v) in enumerate(zip(labels, found[1]))]
+                        out.append((wording, "", 0, row, found[0], labels, [RESPONDENTS] * len(labels), found[1]))
                         row += 1
                     pending = []
             at += 1
@@ -144,7 +152,7 @@ class _TemplateDocument:
     """
 
     def __init__(self) -> None:
-        self.cells: list[tuple] = []
+        self.rows: list[tuple] = []
         self.title: str | None = None
         self.ahead: list[str] = []
         self.prompt = ""
@@ -171,18 +179,17 @@ class _TemplateDocument:
         return []
 
     def _read_row(self, line: str) -> None:
-        _, columns, groups = self.template
-        if line == " ".join(columns):
+        names, columns, titles = self.template
+        if line == names:
             return
         self.pending.append(line)
         found = _percentages(" ".join(self.pending), len(columns))
         if found:
-            titles = [None] + [title for title, n in groups for _ in range(n)]
-            self.cells += [(self.title, self.prompt, self.panel, self.row, found[0], c, label, titles[c], v) for c, (label, v) in enumerate(zip(columns, found[1]))]
+            self.rows.append((self.title, self.prompt, self.panel, self.row, found[0], columns, titles, found[1]))
             self.row, self.pending = self.row + 1, []
 
     def read(self, line: str) -> None:
-        template = next((t for t in TEMPLATES if t[0] == line), None)
+        template = TEMPLATE_OF.get(line)
         if self.title is not None and template:
             self._open(template)
         elif self.title is not None and not self.panels:
@@ -202,7 +209,7 @@ def _is_digits(line: str) -> bool:
 
 
 def _is_numbered_title(line: str) -> bool:
-    return bool(re.match(NUMBERED, line)) and not re.search(CONTENTS, line)
+    return "0" <= line[:1] <= "9" and bool(re.match(NUMBERED, line)) and not re.search(CONTENTS, line)
 
 
 def _is_furniture(line: str) -> bool:
@@ -212,24 +219,37 @@ def _is_furniture(line: str) -> bool:
 def _percentages(line: str, k: int) -> tuple[str, list[float]] | None:
     """Label and exactly k percentages at the end of a line."""
     tokens = line.split()
-    shown = [t.endswith("%") or t in ("*", "-") for t in tokens[-k - 1 :]]
-    return _row(line, k) if all(shown[1:]) and len(tokens) > k and not tokens[-k - 1].endswith("%") else None
+    if len(tokens) <= k or tokens[-k - 1].endswith("%"):
+        return None
+    last = tokens[-k:]
+    if not all([t[-1] == "%" or t == "*" or t == "-" for t in last]):
+        return None
+    values = [_number(t) for t in last]
+    return None if None in values else (" ".join(tokens[:-k]), values)
 
 
-def parse_by_templates(lines: list[str]) -> list[tuple]:
-    """Cells of questions whose panels have one of the fixed headers; a line of column names below a header may be missing."""
+def rows_by_templates(lines: list[str]) -> list[tuple]:
+    """Rows of questions whose panels have one of the fixed headers; a line of column names below a header may be missing."""
     document = _TemplateDocument()
     for line in lines:
         document.read(line)
-    return document.cells
+    return document.rows
+
+
+def parse_by_headers(lines: list[str]) -> list[tuple]:
+    return cells_of(rows_by_headers(lines))
+
+
+def parse_by_templates(lines: list[str]) -> list[tuple]:
+    return cells_of(rows_by_templates(lines))
 
 
 def cell_frames(batches: Iterable[pd.DataFrame], parse: Callable, names: list[str]) -> Iterator[pd.DataFrame]:
-    """Cells of documents, some CELLS_AT_ONCE at a time, whatever the size of a batch of documents."""
+    """Cells (or rows) of documents, some CELLS_AT_ONCE at a time, whatever the size of a batch of documents."""
     rows: list[tuple] = []
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            lines = [" ".join(_without_banners(x).split()) for x in (text or "").split("\n")]
+            lines = [" ".join(x.split()) for x in _without_banners(text or "").split("\n")]
             rows += [(doc_id, *r) for r in parse(lines)]
             if len(rows) >= CELLS_AT_ONCE:
                 yield pd.DataFrame(rows, columns=names)
@@ -237,18 +257,26 @@ def cell_frames(batches: Iterable[pd.DataFrame], parse: Callable, names: list[st
     yield pd.DataFrame(rows, columns=names)
 
 
-def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
-    """Cells of the questions in each document, with doc_id as it comes; a document is parsed on its own, so that nothing is shuffled.
+def topline_rows(docs: DataFrame, layout: str = "headers") -> DataFrame:
+    """Rows of the panels of each document's questions, with doc_id as it comes; a document is parsed on its own, so that nothing is shuffled.
 
-    With "headers" the wording holds the prompt; with "templates" it is a column of its own.
+    With "headers" the wording holds the prompt; with "templates" it is a column of its own. What a worker hands on is a
+    row with its columns, not each cell.
     """
-    parse: Callable = {"headers": parse_by_headers, "templates": parse_by_templates}[layout]
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(CELLS).fields])
-
+    parse: Callable = {"headers": rows_by_headers, "templates": rows_by_templates}[layout]
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(ROWS).fields])
     names = schema.names
+
     return docs.select("doc_id", "text").mapInPandas(lambda batches: cell_frames(batches, parse, names), schema)
 
 
+def topline_cells(docs: DataFrame, layout: str = "headers") -> DataFrame:
+    """Cells of the same rows."""
+    cells = F.posexplode(F.arrays_zip("column_labels", "group_titles", "values")).alias("col_idx", "_c")
+    rows = topline_rows(docs, layout).select("doc_id", "question", "prompt", "panel", "row_idx", "row_label", cells)
+    return rows.select("doc_id", "question", "prompt", "panel", "row_idx", "row_label", "col_idx", F.col("_c.column_labels").alias("column_label"), F.col("_c.group_titles").alias("group_title"), F.col("_c.values").alias("value"))
+
+
 def document_header(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, title and subtitle from a table of lines: the first two that are neither blank nor page numbers."""
     usable = lines.where((F.col("line") != "") & ~is_page_number(F.col("line")))

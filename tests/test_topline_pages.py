@@ -52,3 +52,15 @@ def test_ids_keep_their_type(spark):
     assert {r["doc_id"] for r in toplines.topline_cells(docs, "templates").collect()} == {"a-1"}
     tables = spark.createDataFrame([("c", "x,y\na,1\n"), ("d", None)], "chart_id string, csv string")
     assert [r["chart_id"] for r in charts.csv_cells(tables).collect()] == ["c"]
+
+
+def test_a_row_is_handed_on_as_one(spark):
+    """Each cell was a row of its own on its way from a worker; rows with their columns give the same cells, in both layouts."""
+    text = "\n".join(["1. A title", FIRST, row("Yes", 12), "Or", row("no", 12), SECOND, row("Yes", 11)])
+    other = "CP1. In your opinion, is it good?\nTotal\n(N=1,269)\nIndependent/Something\nelse (N=451)\nYes 40% *\nNo 60% 3\n"
+    for layout, own, parse in (("templates", text, toplines.parse_by_templates), ("headers", other, toplines.parse_by_headers)):
+        docs = spark.createDataFrame([(7, own), (8, None)], "doc_id long, text string")
+        rows = toplines.topline_rows(docs, layout).collect()
+        cells = [tuple(r) for r in toplines.topline_cells(docs, layout).collect()]
+        assert sorted(cells, key=str) == sorted(((7, *c) for c in parse(own.split("\n"))), key=str) and len(cells) == sum(len(r["values"]) for r in rows)
+        assert len(rows) == {"templates": 3, "headers": 2}[layout]
